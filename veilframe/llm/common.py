@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +63,14 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+class Shared:
+    """A bounded object sent once to each executor, with the code of its class."""
+
+    def __init__(self, spark: SparkSession, obj):
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(obj))
+
+    @property
+    def value(self):
+        return pickle.loads(self.sent.value)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import substring_dedup, suffix_dedup
-from .common import documents
+from . import ann, chat, decontam, langid, mixing, substring_dedup, suffix_dedup
+from .common import back_to_id, documents
 
 
 def op1_substring_dedup(spark, sf_dir):
@@ -13,10 +13,34 @@ def op1_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_additive_ann(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return ann.search(vectors, vectors.where(F.col("id") % 100 == 0), 10)
+
+
 def op4_suffix_dedup(spark, sf_dir):
     out = suffix_dedup.remove_repeats(documents(spark, sf_dir), 400)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op4_suffix_dedup": op4_suffix_dedup}
-ORACLE_SQL: dict[str, str] = {}
+def op7_language_id(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs)
+    return langid.predict(docs.select("doc_id", langid.held_out().alias("held_out"), "text"), model)
+
+
+def op9_decontamination(spark, sf_dir):
+    found = decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(back_to_id("doc").alias("doc_id"), "item_id", "question_overlap", "answer_overlap")
+
+
+QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_chat_format": chat.op2_chat_format,
+    "op3_additive_ann": op3_additive_ann,
+    "op4_suffix_dedup": op4_suffix_dedup,
+    "op7_language_id": op7_language_id,
+    "op8_mixing": mixing.op8_mixing,
+    "op9_decontamination": op9_decontamination,
+}
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": chat.OP2_SQL, "op8_mixing": mixing.OP8_SQL}
