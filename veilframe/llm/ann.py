@@ -19,9 +19,9 @@ from .common import Shared, partitions
 
 #: Vectors that codebooks are trained on at most; all vectors are coded.
 SAMPLE = 8192
-BOOKS, WORDS, BEAM = 8, 64, 4
+BOOKS, WORDS, BEAM = 32, 32, 4
 #: Vectors in a block, queries in a block, candidates reranked in each block of vectors.
-BLOCK, QUERIES, RERANK = 4096, 512, 128
+BLOCK, QUERIES, RERANK = 4096, 512, 256
 
 
 class Quantizer:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, langid, mixing, substring_dedup, suffix_dedup
+from . import ann, chat, decontam, langid, minhash_forest, mixing, substring_dedup, suffix_dedup, warc
 from .common import back_to_id, documents
 
 
@@ -23,6 +23,10 @@ def op4_suffix_dedup(spark, sf_dir):
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_minhash_forest(spark, sf_dir):
+    return minhash_forest.op6(documents(spark, sf_dir))
+
+
 def op7_language_id(spark, sf_dir):
     docs = documents(spark, sf_dir)
     model = langid.fit(docs)
@@ -39,6 +43,8 @@ QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
     "op3_additive_ann": op3_additive_ann,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_warc_derivatives": warc.op5_warc_derivatives,
+    "op6_minhash_forest": op6_minhash_forest,
     "op7_language_id": op7_language_id,
     "op8_mixing": mixing.op8_mixing,
     "op9_decontamination": op9_decontamination,
