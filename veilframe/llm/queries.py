@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, langid, minhash_forest, mixing, substring_dedup, suffix_dedup, warc
+from . import ann, chat, decontam, langid, line_dedup, minhash_forest, mixing, substring_dedup, suffix_dedup, warc
 from .common import back_to_id, documents
 
 
@@ -48,5 +48,6 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_mixing": mixing.op8_mixing,
     "op9_decontamination": op9_decontamination,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op2_chat_format": chat.OP2_SQL, "op8_mixing": mixing.OP8_SQL}
