@@ -1,0 +1 @@
+"""Relational analytics on Spark, with value ranges, privacy units and differential privacy."""
