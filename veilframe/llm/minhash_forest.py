@@ -24,8 +24,8 @@ from .substring_dedup import WordHashes
 SHINGLE = 5
 ORDERS, DEPTH = 24, 4
 VALUES = ORDERS * DEPTH
-#: Estimates below MAYBE are over five standard errors under the threshold; from SURE on a pair is taken as settled by its hub.
-MAYBE, SURE = 0.66, 0.96
+#: Pairs are candidates if their estimate is at most ERRORS standard errors under the threshold; in a crowded region, from SURE on a hub settles a row.
+ERRORS, SURE = 4.1, 0.93
 SMALL = 48
 _MULT = (w.mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1))[None, :]
 _COEF = w.mix(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
@@ -77,22 +77,34 @@ def _signed(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(sizes, pa.int64()), pa.array(np.array(sums, np.uint64).view(np.int64)), pa.array([r.tobytes() for r in short], pa.binary()), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, ORDERS, dtype=np.int32), pa.array(keys.ravel()))], names=["doc", "n", "whole", "sig", "keys"])
 
 
-def region_edges(ids: np.ndarray, sig: np.ndarray, order: int, depth: int = DEPTH):
+def least_estimate(percent: int) -> float:
+    j = percent / 100
+    return j - ERRORS * (j * (1 - j) / VALUES) ** 0.5
+
+
+def _hub(sig: np.ndarray) -> int:
+    """The row that agrees most with the values in the middle: a value that most rows share stands there."""
+    return int((sig == np.sort(sig, 0)[len(sig) // 2]).sum(1).argmax())
+
+
+def region_edges(ids: np.ndarray, sig: np.ndarray, order: int, maybe: float, depth: int = DEPTH):
     """Candidate pairs (row arrays) among the rows of one region."""
     m = len(ids)
     if m < 2:
         return
     if m <= SMALL:
         alike = (sig[:, None, :] == sig[None, :, :]).mean(2)
-        i, j = np.nonzero(np.triu(alike >= MAYBE, 1))
-        if len(i) > 3 * m:  # many alike: what is nearly equal to an earlier row is settled by it
-            head = np.arange(m)
-            for r in range(m):
-                if len(near := np.flatnonzero((alike[r, :r] >= SURE) & (head[:r] == np.arange(r)))):
-                    head[r] = near[0]
-            own = head == np.arange(m)
-            keep = (own[i] & own[j]) | (head[j] == i) | ((alike[i, j] >= 0.78) & (alike[head[i], head[j]] < 0.92) & (head[i] != head[j]))
-            i, j = i[keep], j[keep]
+        i, j = np.nonzero(np.triu(alike >= maybe, 1))
+        if len(i) > 3 * m:  # a dense group hangs together by its hub and by each row's nearest
+            np.fill_diagonal(alike, -1)
+            keep = np.zeros((m, m), bool)
+            keep[_hub(sig)] = True
+            for _ in range(3 if depth == DEPTH else 1):
+                best = alike.argmax(1)
+                keep[np.arange(m), best] = True
+                alike[np.arange(m), best] = -1
+            keep |= keep.T
+            i, j = i[keep[i, j]], j[keep[i, j]]
         yield ids[i], ids[j]
         return
     live = np.arange(m)
@@ -100,12 +112,9 @@ def region_edges(ids: np.ndarray, sig: np.ndarray, order: int, depth: int = DEPT
         if len(live) <= SMALL:
             break
         s = sig[live]
-        ordered = np.sort(s, 0)
-        # a value that most rows share covers the middle
-        agree = (s == ordered[len(live) // 2]).sum(1)
-        hub = int(agree.argmax())
+        hub = _hub(s)
         alike = (s == s[hub]).mean(1)
-        near = alike >= MAYBE
+        near = alike >= maybe
         near[hub] = False
         yield np.full(near.sum(), ids[live[hub]]), ids[live[near]]
         rest = alike < SURE
@@ -116,19 +125,19 @@ def region_edges(ids: np.ndarray, sig: np.ndarray, order: int, depth: int = DEPT
     ids, sig = ids[live], sig[live]
     if len(live) <= SMALL or depth >= VALUES:
         if len(live) <= SMALL:
-            yield from region_edges(ids, sig, order, depth)
+            yield from region_edges(ids, sig, order, maybe, max(depth, DEPTH + 1))
         return
     turn = np.roll(sig, -(order * DEPTH + depth), 1)
     by = np.lexsort(turn[:, 7::-1].T)
     ids, sig, turn = ids[by], sig[by], turn[by]
-    alike = (sig[1:] == sig[:-1]).mean(1) >= MAYBE
+    alike = (sig[1:] == sig[:-1]).mean(1) >= maybe
     yield ids[:-1][alike], ids[1:][alike]
     cut = np.flatnonzero(turn[1:, 0] != turn[:-1, 0]) + 1
     for a, b in zip(np.append(0, cut), np.append(cut, len(ids)), strict=True):
-        yield from region_edges(ids[a:b], sig[a:b], order, depth + 1)
+        yield from region_edges(ids[a:b], sig[a:b], order, maybe, depth + 1)
 
 
-def _region_rows(batches):
+def _region_rows(batches, maybe: float):
     """Candidate pairs from rows sorted by key; a region that spans batches is carried over."""
     held: list[tuple] = []
 
@@ -138,7 +147,7 @@ def _region_rows(batches):
         us, vs = [], []
         for a, b in zip(new[stop - new > 1].tolist(), stop[stop - new > 1].tolist(), strict=True):
             rows = np.frombuffer(b"".join(sig[a:b]), np.uint16).reshape(b - a, VALUES)
-            for u, v in region_edges(doc[a:b], rows, int(key[a]) & 31):
+            for u, v in region_edges(doc[a:b], rows, int(key[a]) & 31, maybe):
                 us.append(u)
                 vs.append(v)
         if us:
@@ -199,12 +208,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     own = members.where(F.col("doc") == F.col("head")).select("doc", "n").distinct()
     rows = some.select("doc", "sig", "keys").dropDuplicates(["doc"]).join(own, "doc").select("doc", "sig", F.explode("keys").alias("key"))
     rows = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "doc")
-    pairs = written(rows.mapInArrow(_region_rows, "u long, v long").distinct(), "pairs")
+    maybe = least_estimate(percent)
+    pairs = written(rows.mapInArrow(lambda bs: _region_rows(bs, maybe), "u long, v long").distinct(), "pairs")
     ends = pairs.select(F.explode(F.array("u", "v")).alias("doc")).distinct()
-    sets = texts.join(ends, "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(_sets, "doc long, shingles binary").join(own, "doc")
+    # what grows with the corpus is shuffled, never broadcast, at any size
+    sets = texts.join(ends.hint("merge"), "doc", "left_semi").mapInArrow(_sets, "doc long, shingles binary")
+    sets = written(sets.dropDuplicates(["doc"]).join(own, "doc"), "sets")
     u = sets.select(F.col("doc").alias("u"), F.col("shingles").alias("su"), F.col("n").alias("nu"))
     v = sets.select(F.col("doc").alias("v"), F.col("shingles").alias("sv"), F.col("n").alias("nv"))
-    links = pairs.join(u, "u").join(v, "v").select("u", "v", "su", "sv", "nu", "nv").mapInArrow(_confirm(percent), "u long, v long")
+    links = pairs.join(u.hint("merge"), "u").join(v.hint("merge"), "v").select("u", "v", "su", "sv", "nu", "nv").mapInArrow(_confirm(percent), "u long, v long")
     found = components(links).select(F.col("node").alias("head"), "component")
     known = members.join(found, "head", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "head").alias("component"))
     return known.unionByName(signed.where(F.col("n") == 0).select("doc", F.col("n").alias("n_shingles"), F.col("doc").alias("component")))
