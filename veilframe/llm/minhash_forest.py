@@ -99,7 +99,7 @@ def region_edges(ids: np.ndarray, sig: np.ndarray, order: int, maybe: float, dep
             np.fill_diagonal(alike, -1)
             keep = np.zeros((m, m), bool)
             keep[_hub(sig)] = True
-            for _ in range(3 if depth == DEPTH else 1):
+            for _ in range(3 if depth == DEPTH else 0):
                 best = alike.argmax(1)
                 keep[np.arange(m), best] = True
                 alike[np.arange(m), best] = -1
@@ -108,7 +108,7 @@ def region_edges(ids: np.ndarray, sig: np.ndarray, order: int, maybe: float, dep
         yield ids[i], ids[j]
         return
     live = np.arange(m)
-    for _ in range(4):
+    for _ in range(2 if order < ORDERS // 3 and depth == DEPTH else 1):  # the hubs of other orders are much the same
         if len(live) <= SMALL:
             break
         s = sig[live]
