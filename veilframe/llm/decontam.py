@@ -201,7 +201,7 @@ def brute_force(docs, items):
     for doc, text in docs:
         words = words_of(text or "")
         for item, t in items:
-            q, a = (shingles(x) for x in question_and_answer(t))
+            q, a = (shingles(x) for x in question_and_answer(t or ""))
             have = {n: {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} for n in range(1, SHINGLE + 1)}
             share = lambda s: len([x for x in s if x in have[len(x)]]) / len(s) if s else 1.0  # noqa: E731, B023
             if (q or a) and min(share(q), share(a)) >= OVERLAP:

@@ -87,8 +87,8 @@ def _hub(sig: np.ndarray) -> int:
     return int((sig == np.sort(sig, 0)[len(sig) // 2]).sum(1).argmax())
 
 
-def region_edges(ids: np.ndarray, sig: np.ndarray, order: int, maybe: float, depth: int = DEPTH):
-    """Candidate pairs (row arrays) among the rows of one region."""
+def region_edges(ids: np.ndarray, sig: np.ndarray, order: int, maybe: float):
+    """Candidate pairs (row arrays) among the rows of one region: a few for each row, however large it is."""
     m = len(ids)
     if m < 2:
         return
@@ -99,7 +99,7 @@ def region_edges(ids: np.ndarray, sig: np.ndarray, order: int, maybe: float, dep
             np.fill_diagonal(alike, -1)
             keep = np.zeros((m, m), bool)
             keep[_hub(sig)] = True
-            for _ in range(3 if depth == DEPTH else 0):
+            for _ in range(3):
                 best = alike.argmax(1)
                 keep[np.arange(m), best] = True
                 alike[np.arange(m), best] = -1
@@ -108,33 +108,36 @@ def region_edges(ids: np.ndarray, sig: np.ndarray, order: int, maybe: float, dep
         yield ids[i], ids[j]
         return
     live = np.arange(m)
-    for _ in range(2 if order < ORDERS // 3 and depth == DEPTH else 1):  # the hubs of other orders are much the same
-        if len(live) <= SMALL:
-            break
-        s = sig[live]
-        hub = _hub(s)
-        alike = (s == s[hub]).mean(1)
-        near = alike >= maybe
-        near[hub] = False
+    for _ in range(2 if order < ORDERS // 3 else 1):  # the hubs of other orders are much the same
+        hub, near, settled = _to_hub(sig[live], maybe)
         yield np.full(near.sum(), ids[live[hub]]), ids[live[near]]
-        rest = alike < SURE
-        rest[hub] = False
-        live = live[rest]
-    if len(live) < 2:
-        return
+        live = live[~settled]
+        if len(live) < 2:
+            return
     ids, sig = ids[live], sig[live]
-    if len(live) <= SMALL or depth >= VALUES:
-        if len(live) <= SMALL:
-            yield from region_edges(ids, sig, order, maybe, max(depth, DEPTH + 1))
-        return
-    turn = np.roll(sig, -(order * DEPTH + depth), 1)
-    by = np.lexsort(turn[:, 7::-1].T)
+    turn = np.roll(sig, -(order + 1) * DEPTH, 1)
+    by = np.lexsort(turn[:, 11::-1].T)
     ids, sig, turn = ids[by], sig[by], turn[by]
     alike = (sig[1:] == sig[:-1]).mean(1) >= maybe
     yield ids[:-1][alike], ids[1:][alike]
-    cut = np.flatnonzero(turn[1:, 0] != turn[:-1, 0]) + 1
-    for a, b in zip(np.append(0, cut), np.append(cut, len(ids)), strict=True):
-        yield from region_edges(ids[a:b], sig[a:b], order, maybe, depth + 1)
+    todo = [(0, len(ids), 0)]
+    while todo:  # deeper where it is crowded
+        a, b, depth = todo.pop()
+        if b - a > SMALL and depth < 12:
+            cut = np.flatnonzero(turn[a + 1 : b, depth] != turn[a : b - 1, depth]) + a + 1
+            todo += [(x, y, depth + 1) for x, y in zip([a, *cut.tolist()], [*cut.tolist(), b], strict=True) if y - x > 2]
+        else:
+            hub, near, _ = _to_hub(sig[a:b], maybe)
+            yield np.full(near.sum(), ids[a + hub]), ids[a:b][near]
+
+
+def _to_hub(sig: np.ndarray, maybe: float):
+    """The hub, the rows that may be linked to it, and those that are settled by it (itself included)."""
+    hub = _hub(sig)
+    alike = (sig == sig[hub]).mean(1)
+    near, settled = alike >= maybe, alike >= SURE
+    near[hub] = False
+    return hub, near, settled
 
 
 def _region_rows(batches, maybe: float):
