@@ -9,6 +9,8 @@ same pointers. Each path is formatted as one conversation with a loss mask.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,14 +43,19 @@ def branches(messages: DataFrame, top: int = 1) -> DataFrame:
     known = nodes.select("conv", F.col("node").alias("parent"), F.lit(True).alias("known"))
     nodes = nodes.join(known, ["conv", "parent"], "left").withColumn("parent", F.when(F.col("known"), F.col("parent")))
     up = written(nodes.select("conv", "node", F.col("parent").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth")), "up")
-    levels, number = [], up.count()
+    levels, number, done = [], up.count(), [up.where(F.col("up").isNull())]
     while up.where(F.col("up").isNotNull()).limit(1).count() and 2 ** len(levels) <= number:
         levels.append(up)
         above = up.select("conv", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
-        joined = up.join(above, ["conv", "up"], "left")
-        up = written(joined.select("conv", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")), "up")
+        # only pointers that have not reached a root go on; each one's target is in the table
+        joined = up.where(F.col("up").isNotNull()).join(above, ["conv", "up"])
+        moved = written(joined.select("conv", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth")), "up")
+        done.append(moved.where(F.col("up").isNull()))
+        ended = up.where(F.col("up").isNull()).unionByName(moved.where(F.col("up").isNull()))
+        going = moved.where(F.col("up").isNotNull())
+        up = written(going.unionByName(ended.join(going.select("conv").distinct(), "conv", "left_semi")), "up")
     answered = nodes.where(F.col("parent").isNotNull()).select("conv", F.col("parent").alias("node")).distinct()
-    leaves = up.where(F.col("up").isNull()).join(answered, ["conv", "node"], "left_anti")
+    leaves = reduce(DataFrame.unionByName, done).join(answered, ["conv", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("conv").orderBy(F.desc(F.col("total") / F.col("depth")), "node"))
     path = leaves.withColumn("rank", rank).where(F.col("rank") <= top).select("conv", F.col("node").alias("path"), "rank", "node", F.lit(0).cast("long").alias("step"))
     for k in reversed(range(len(levels))):
