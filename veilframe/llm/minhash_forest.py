@@ -209,14 +209,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     heads = some.groupBy("n", "whole").agg(F.min("doc").alias("head"))
     members = written(some.select("doc", "n", "whole").join(heads, ["n", "whole"]).select("doc", "head", "n"), "members")
     own = members.where(F.col("doc") == F.col("head")).select("doc", "n").distinct()
-    rows = some.select("doc", "sig", "keys").dropDuplicates(["doc"]).join(own, "doc").select("doc", "sig", F.explode("keys").alias("key"))
+    rows = some.select("doc", "sig", "keys").dropDuplicates(["doc"]).join(own.hint("merge"), "doc").select("doc", "sig", F.explode("keys").alias("key"))
     rows = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "doc")
     maybe = least_estimate(percent)
     pairs = written(rows.mapInArrow(lambda bs: _region_rows(bs, maybe), "u long, v long").distinct(), "pairs")
     ends = pairs.select(F.explode(F.array("u", "v")).alias("doc")).distinct()
     # what grows with the corpus is shuffled, never broadcast, at any size
     sets = texts.join(ends.hint("merge"), "doc", "left_semi").mapInArrow(_sets, "doc long, shingles binary")
-    sets = written(sets.dropDuplicates(["doc"]).join(own, "doc"), "sets")
+    sets = written(sets.dropDuplicates(["doc"]).join(own.hint("merge"), "doc"), "sets")
     u = sets.select(F.col("doc").alias("u"), F.col("shingles").alias("su"), F.col("n").alias("nu"))
     v = sets.select(F.col("doc").alias("v"), F.col("shingles").alias("sv"), F.col("n").alias("nv"))
     links = pairs.join(u.hint("merge"), "u").join(v.hint("merge"), "v").select("u", "v", "su", "sv", "nu", "nv").mapInArrow(_confirm(percent), "u long, v long")
