@@ -235,3 +235,27 @@ def test_null_id(spark):
 
 def test_sql_exists_where_it_can():
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_edit_distances_of_lines(spark):
+    rnd = random.Random(1)
+    pairs = []
+    for i in range(300):
+        x = [rnd.choice("abé ß") for _ in range([0, 1, 5, 30, 100, 700, 1500][i % 7])]
+        y = list(x)
+        for _ in range(rnd.choice([0, 1, 3, len(x) // 5, len(x) // 3])):
+            k = rnd.randrange(len(y) + 1)
+            y[k : k + rnd.randrange(2)] = rnd.choice(["", "q", "éé"])
+        pairs.append(("".join(x), "".join(y), max(len(x), len(y)) // 5))
+    df = spark.createDataFrame(pairs, "x string, y string, lim int")
+    found = df.select("lim", F.expr("levenshtein(x, y, lim)").alias("exact"), line_dedup.within(F.col("x"), F.col("y"), F.col("lim")).alias("d")).collect()
+    assert all((r.exact < 0) == (r.d < 0) and r.exact <= r.d <= r.lim for r in found)
+    assert {r.exact < 0 for r in found} == {True, False}
+
+
+def test_table_rows_are_not_alike_by_their_bars(spark):
+    rnd = random.Random(2)
+    cells = [["".join(rnd.choices("abcdefgh", k=6)) for _ in range(20)] for _ in range(30)]
+    texts = [(i, " | ".join(c)) for i, c in enumerate(cells)] + [(30, " | ".join([*cells[7][:-1], "other"]))]
+    sims = line_dedup.simhashes(line_dedup.lines(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert len({r.sim for r in sims.where("doc < 30").collect()}) == 30
