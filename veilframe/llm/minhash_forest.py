@@ -73,7 +73,7 @@ def _signed(batches):
             sigs.append(signature(s))
         sig = np.array(sigs, np.uint32).reshape(-1, VALUES)
         keys = region_keys(sig).view(np.int64)
-        short = sig.astype(np.uint16)
+        short = sig.astype(np.uint8)  # values that agree by chance, one in 256, only add candidates
         yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(sizes, pa.int64()), pa.array(np.array(sums, np.uint64).view(np.int64)), pa.array([r.tobytes() for r in short], pa.binary()), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, ORDERS, dtype=np.int32), pa.array(keys.ravel()))], names=["doc", "n", "whole", "sig", "keys"])
 
 
@@ -149,7 +149,7 @@ def _region_rows(batches, maybe: float):
         stop = np.append(new[1:], len(key))
         us, vs = [], []
         for a, b in zip(new[stop - new > 1].tolist(), stop[stop - new > 1].tolist(), strict=True):
-            rows = np.frombuffer(b"".join(sig[a:b]), np.uint16).reshape(b - a, VALUES)
+            rows = np.frombuffer(b"".join(sig[a:b]), np.uint8).reshape(b - a, VALUES)
             for u, v in region_edges(doc[a:b], rows, int(key[a]) & 31, maybe):
                 us.append(u)
                 vs.append(v)
