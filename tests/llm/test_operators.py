@@ -259,3 +259,19 @@ def test_table_rows_are_not_alike_by_their_bars(spark):
     texts = [(i, " | ".join(c)) for i, c in enumerate(cells)] + [(30, " | ".join([*cells[7][:-1], "other"]))]
     sims = line_dedup.simhashes(line_dedup.lines(spark.createDataFrame(texts, "doc_id long, text string")))
     assert len({r.sim for r in sims.where("doc < 30").collect()}) == 30
+
+
+def test_near_lines_are_found_without_simhash(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(3, 8)))
+    texts = []
+    for n in [1, 2, 3, 8, 12, 20, 40] * 8:  # one word, or a letter, replaced in lines of any length
+        x = [word() + word() if n < 3 else word() for _ in range(n)]
+        y = list(x)
+        at = rnd.randrange(n)
+        y[at] = word() if n >= 8 else y[at][:-1] + "é"
+        if distance(" ".join(x), " ".join(y)) <= max(len(" ".join(x)), len(" ".join(y))) // 5:
+            texts += [" ".join(x), " ".join(y)]
+    gone = {r.doc: r.kept_doc for r in line_dedup.removed_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = sum(gone.get(i + 1) == i for i in range(0, len(texts), 2))
+    assert len(texts) > 90 and found >= 0.97 * len(texts) / 2
