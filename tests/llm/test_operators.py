@@ -284,3 +284,11 @@ def test_large_bucket_is_compared_in_full(spark):
     texts = [head + t for t in tails] + [head + t[:-1] + "é" for t in tails]  # all share keys, only twins are near
     gone = {r.doc: r.kept_doc for r in line_dedup.removed_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert gone == {i + 40: i for i in range(40)}
+
+
+def test_small_dense_region_gives_all_pairs():
+    sig = np.tile(np.arange(minhash_forest.VALUES, dtype=np.uint8), (40, 1))
+    for i in range(40):
+        sig[i, i % 90 : i % 90 + 3] = 200 + i  # all near, more than three pairs a row
+    got = {frozenset(p) for u, v in minhash_forest.region_edges(np.arange(40), sig, 0, 0.7) for p in zip(u.tolist(), v.tolist(), strict=True)}
+    assert len(got) == 40 * 39 // 2

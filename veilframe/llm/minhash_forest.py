@@ -95,16 +95,6 @@ def region_edges(ids: np.ndarray, sig: np.ndarray, order: int, maybe: float):
     if m <= SMALL:
         alike = (sig[:, None, :] == sig[None, :, :]).mean(2)
         i, j = np.nonzero(np.triu(alike >= maybe, 1))
-        if len(i) > 3 * m:  # a dense group hangs together by its hub and by each row's nearest
-            np.fill_diagonal(alike, -1)
-            keep = np.zeros((m, m), bool)
-            keep[_hub(sig)] = True
-            for _ in range(3):
-                best = alike.argmax(1)
-                keep[np.arange(m), best] = True
-                alike[np.arange(m), best] = -1
-            keep |= keep.T
-            i, j = i[keep[i, j]], j[keep[i, j]]
         yield ids[i], ids[j]
         return
     live = np.arange(m)
