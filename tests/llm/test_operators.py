@@ -292,3 +292,25 @@ def test_small_dense_region_gives_all_pairs():
         sig[i, i % 90 : i % 90 + 3] = 200 + i  # all near, more than three pairs a row
     got = {frozenset(p) for u, v in minhash_forest.region_edges(np.arange(40), sig, 0, 0.7) for p in zip(u.tolist(), v.tolist(), strict=True)}
     assert len(got) == 40 * 39 // 2
+
+
+def bridged(spark, copies, families):
+    rng = random.Random(11)
+    rows, tests = [], []
+    for f in range(families):
+        x = [f"{f}w{rng.randrange(10**6)}" for _ in range(700)]
+        base = len(rows)
+        rows.append(" ".join(x))
+        for _ in range(copies):
+            y = list(x)
+            y[rng.randrange(700)] = f"n{rng.randrange(10**9)}"
+            rows.append(" ".join(y))
+        # d is near c and the full text, c is near d only
+        rows += [" ".join(x[:693]), " ".join(x[:592])]
+        tests.append((base, len(rows) - 1))
+    out = {r.doc_id: r.component_id for r in minhash_forest.op6(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    return [out[a] == out[b] for a, b in tests]
+
+
+def test_link_that_bypasses_the_hub(spark):
+    assert all(bridged(spark, 60, 10))

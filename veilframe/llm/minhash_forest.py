@@ -6,6 +6,8 @@ pairs are estimated. A crowded one is first reduced by hubs, the documents that
 agree most with the region's consensus: what is nearly equal to a hub is settled
 by it. The rest is sorted by the order's further values: neighbours with the
 longest common prefixes are candidates, and regions deepen until they are small.
+After these are confirmed, rows of one crowded region that are still in different
+groups are all compared, so that no link depends on a hub.
 Candidates are confirmed on full shingle sets and joined to components.
 """
 
@@ -130,17 +132,32 @@ def _to_hub(sig: np.ndarray, maybe: float):
     return hub, near, settled
 
 
-def _region_rows(batches, maybe: float):
-    """Candidate pairs from rows sorted by key; a region that spans batches is carried over."""
+def bridges(ids: np.ndarray, sig: np.ndarray, groups: np.ndarray, maybe: float):
+    """All candidate pairs of different groups in one region: each row outside the largest group meets all rows."""
+    if (groups == groups[0]).all():
+        return
+    names, which, counts = np.unique(groups, return_inverse=True, return_counts=True)
+    largest = which == counts.argmax()
+    by = np.argsort(largest, kind="stable")  # those of the largest group last
+    ids, sig, which = ids[by], sig[by], which[by]
+    for i in range(len(ids) - int(largest.sum())):
+        for a in range(i + 1, len(ids), 65536):
+            near = ((sig[a : a + 65536] == sig[i]).mean(1) >= maybe) & (which[a : a + 65536] != which[i])
+            yield np.full(near.sum(), ids[i]), ids[a : a + 65536][near]
+
+
+def _region_rows(batches, maybe: float, grouped: bool = False):
+    """Candidate pairs from rows sorted by key; a region that spans batches is carried over. grouped: bridges between groups."""
     held: list[tuple] = []
 
-    def work(key, doc, sig):
+    def work(key, doc, sig, group):
         new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         stop = np.append(new[1:], len(key))
         us, vs = [], []
         for a, b in zip(new[stop - new > 1].tolist(), stop[stop - new > 1].tolist(), strict=True):
             rows = np.frombuffer(b"".join(sig[a:b]), np.uint8).reshape(b - a, VALUES)
-            for u, v in region_edges(doc[a:b], rows, int(key[a]) & 31, maybe):
+            found = bridges(doc[a:b], rows, group[a:b], maybe) if grouped else region_edges(doc[a:b], rows, int(key[a]) & 31, maybe)
+            for u, v in found:
                 us.append(u)
                 vs.append(v)
         if us:
@@ -149,16 +166,17 @@ def _region_rows(batches, maybe: float):
 
     for b in batches:
         key, doc, sig = b.column("key").to_numpy(), b.column("doc").to_numpy(), np.array(b.column("sig").to_pylist(), object)
+        group = b.column("group").to_numpy() if grouped else doc
         if not len(key):
             continue
         if held and held[-1][0][-1] == key[0] == key[-1]:
-            held.append((key, doc, sig))
+            held.append((key, doc, sig, group))
             continue
-        held.append((key, doc, sig))
-        key, doc, sig = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.append((key, doc, sig, group))
+        key, doc, sig, group = (np.concatenate(x) for x in zip(*held, strict=True))
         last = int(np.searchsorted(-(key != key[-1]).astype(np.int8), 0)) if key[0] != key[-1] else 0
-        yield from work(key[:last], doc[:last], sig[:last])
-        held = [(key[last:], doc[last:], sig[last:])]
+        yield from work(key[:last], doc[:last], sig[:last], group[:last])
+        held = [(key[last:], doc[last:], sig[last:], group[last:])]
     if held:
         yield from work(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -182,6 +200,17 @@ def _confirm(percent: int):
     return run
 
 
+def _links(texts: DataFrame, own: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs u, v that are near copies by their full sets."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("doc")).distinct()
+    # what grows with the corpus is shuffled, never broadcast, at any size
+    sets = texts.join(ends.hint("merge"), "doc", "left_semi").mapInArrow(_sets, "doc long, shingles binary")
+    sets = written(sets.dropDuplicates(["doc"]).join(own.hint("merge"), "doc"), "sets")
+    u = sets.select(F.col("doc").alias("u"), F.col("shingles").alias("su"), F.col("n").alias("nu"))
+    v = sets.select(F.col("doc").alias("v"), F.col("shingles").alias("sv"), F.col("n").alias("nv"))
+    return pairs.join(u.hint("merge"), "u").join(v.hint("merge"), "v").select("u", "v", "su", "sv", "nu", "nv").mapInArrow(_confirm(percent), "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc, n_shingles, component for each row of docs (doc_id, text).
 
@@ -199,18 +228,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     heads = some.groupBy("n", "whole").agg(F.min("doc").alias("head"))
     members = written(some.select("doc", "n", "whole").join(heads, ["n", "whole"]).select("doc", "head", "n"), "members")
     own = members.where(F.col("doc") == F.col("head")).select("doc", "n").distinct()
-    rows = some.select("doc", "sig", "keys").dropDuplicates(["doc"]).join(own.hint("merge"), "doc").select("doc", "sig", F.explode("keys").alias("key"))
+    heads = some.select("doc", "sig", "keys").dropDuplicates(["doc"]).join(own.hint("merge"), "doc")
+    rows = heads.select("doc", "sig", F.explode("keys").alias("key"))
     rows = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "doc")
     maybe = least_estimate(percent)
     pairs = written(rows.mapInArrow(lambda bs: _region_rows(bs, maybe), "u long, v long").distinct(), "pairs")
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("doc")).distinct()
-    # what grows with the corpus is shuffled, never broadcast, at any size
-    sets = texts.join(ends.hint("merge"), "doc", "left_semi").mapInArrow(_sets, "doc long, shingles binary")
-    sets = written(sets.dropDuplicates(["doc"]).join(own.hint("merge"), "doc"), "sets")
-    u = sets.select(F.col("doc").alias("u"), F.col("shingles").alias("su"), F.col("n").alias("nu"))
-    v = sets.select(F.col("doc").alias("v"), F.col("shingles").alias("sv"), F.col("n").alias("nv"))
-    links = pairs.join(u.hint("merge"), "u").join(v.hint("merge"), "v").select("u", "v", "su", "sv", "nu", "nv").mapInArrow(_confirm(percent), "u long, v long")
-    found = components(links).select(F.col("node").alias("head"), "component")
+    links = written(_links(texts, own, pairs, percent), "links")
+    # crowded regions once more: whatever the hubs left in different groups is compared in full
+    keys = heads.select("doc", F.explode("keys").alias("key"))
+    crowded = keys.groupBy("key").count().where(F.col("count") > SMALL).select("key")
+    group = components(links).select(F.col("node").alias("doc"), F.col("component").alias("group"))
+    again = keys.join(crowded.hint("merge"), "key").join(group.hint("merge"), "doc", "left").select("doc", "key", F.coalesce("group", "doc").alias("group"))
+    mixed = written(again, "crowded")
+    open_ = mixed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where(F.col("low") != F.col("high")).select("key")
+    rows = mixed.join(open_.hint("merge"), "key").join(heads.select("doc", "sig").hint("merge"), "doc").select("doc", "sig", "key", "group")
+    rows = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "doc")
+    more = written(rows.mapInArrow(lambda bs: _region_rows(bs, maybe, True), "u long, v long").distinct(), "pairs")
+    found = components(links.unionByName(_links(texts, own, more, percent))).select(F.col("node").alias("head"), "component")
     known = members.join(found, "head", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "head").alias("component"))
     return known.unionByName(signed.where(F.col("n") == 0).select("doc", F.col("n").alias("n_shingles"), F.col("doc").alias("component")))
 
