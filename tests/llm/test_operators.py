@@ -314,3 +314,11 @@ def bridged(spark, copies, families):
 
 def test_link_that_bypasses_the_hub(spark):
     assert all(bridged(spark, 60, 10))
+
+
+def test_every_text_of_an_item_id_is_found(spark):
+    rnd = random.Random(8)
+    texts = [" ".join("".join(rnd.choices("abcdefgh", k=6)) for _ in range(n)) for n in (20, 30, 25, 22)]
+    items = spark.createDataFrame(list(zip([1, 1, None, 2], texts, strict=True)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, "some words " + t + " and more") for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {(r.doc, r.item_id) for r in decontam.contaminated(docs, items).collect()} == {(0, 1), (1, 1), (2, None), (3, 2)}

@@ -150,28 +150,25 @@ class Index:
 
 
 def indexes(items: DataFrame) -> list[Index]:
-    """Indexes of at most SHARD items each, one at a time on the driver's way to the executors.
+    """Indexes of at most SHARD texts each, one at a time on the driver's way to the executors.
 
-    The test items are the small, given side; null and empty ones are left out.
-    Of several rows with one item_id, each is an item of its own under that id.
+    The test items are the small, given side; null and empty texts are left out.
+    Each row is indexed under a number of its own; ids has the item_id, which
+    may be null or stand in several rows.
     """
-    rows = [(r["item_id"], r["text"]) for r in items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").orderBy("item_id", "text").collect()]
-    return [Index(_numbered(rows[i : i + SHARD])) for i in range(0, len(rows), SHARD)]
-
-
-def _numbered(rows):
-    # a repeated item_id keeps its longest text, then the first
-    best: dict[int, str] = {}
-    for i, t in rows:
-        if i not in best or len(t) > len(best[i]):
-            best[i] = t
-    return list(best.items())
+    rows = [(r["item_id"], r["text"]) for r in items.where(F.col("text").isNotNull()).select("item_id", "text").orderBy("item_id", "text").collect()]
+    out = []
+    for i in range(0, len(rows), SHARD):
+        index = Index([(n, t) for n, (_, t) in enumerate(rows[i : i + SHARD])])
+        index.ids = [item for item, _ in rows[i : i + SHARD]]
+        out.append(index)
+    return out
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, question_overlap, answer_overlap: one row for each item that a document holds.
 
-    Null and empty texts hold none; a null doc_id comes out as null.
+    Of several texts with one item_id the best found counts; null is one item_id. Null and empty texts hold none; a null doc_id comes out as null.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -185,10 +182,13 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
                 if not text.is_valid:
                     continue
                 words = words_of(text.as_py())
+                best: dict = {}
                 for index in loaded:
-                    for item, (q, a) in index.verified(words).items():
-                        for r, x in zip(rows, (doc, item, q, a), strict=True):
-                            r.append(x)
+                    for n, shares in index.verified(words).items():
+                        best[index.ids[n]] = max(best.get(index.ids[n], (0.0, 0.0)), shares)
+                for item, (q, a) in best.items():
+                    for r, x in zip(rows, (doc, item, q, a), strict=True):
+                        r.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["doc", "item_id", "question_overlap", "answer_overlap"])
 
     texts = docs.select(id_key().alias("doc"), F.col("text").cast("string").alias("text"))
