@@ -322,3 +322,14 @@ def test_every_text_of_an_item_id_is_found(spark):
     items = spark.createDataFrame(list(zip([1, 1, None, 2], texts, strict=True)), "item_id long, text string")
     docs = spark.createDataFrame([(i, "some words " + t + " and more") for i, t in enumerate(texts)], "doc_id long, text string")
     assert {(r.doc, r.item_id) for r in decontam.contaminated(docs, items).collect()} == {(0, 1), (1, 1), (2, None), (3, 2)}
+
+
+def test_lines_of_one_word_set_and_very_long_lines(spark):
+    rnd = random.Random(9)
+    w = ["".join(rnd.choices("abcdefghijklmnop", k=6)) for _ in range(12)]
+    a, b = " ".join(sorted(w)), " ".join(sorted(w, reverse=True))
+    c = " ".join([*sorted(w, reverse=True)[:-2], *sorted(w)[:2]])  # the words of a and b, near b only
+    long_ = [f"w{rnd.randrange(10**6)}" for _ in range(9000)]
+    other = [*long_[:4000], "changed", *long_[4001:]]
+    docs = spark.createDataFrame([(0, a), (1, b), (2, c), (3, " ".join(long_)), (4, " ".join(other))], "doc_id long, text string")
+    assert {(r.doc, r.kept_doc) for r in line_dedup.removed_lines(docs).collect()} == {(2, 1), (4, 3)}
