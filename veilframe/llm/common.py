@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of bytes other than space and the ASCII controls 9 to 13.
@@ -21,15 +21,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: what the session names in spark.checkpoint.dir.
 
-    It is what the session names in spark.checkpoint.dir; a local temporary
-    folder is made only where that is unset, as in tests.
+    Where that is unset, a local temporary folder serves a local master; on a
+    cluster it raises, as executors would not see each other's files.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = getattr(spark, "_veilframe_folder", None)
         if not folder:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="veilframe-")
             spark._veilframe_folder = folder
     return folder
@@ -56,9 +58,26 @@ def back_to_id(column: str):
     return F.when(F.col(column) != NULL_ID, F.col(column))
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of whole documents must fit in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def row_tag(docs: DataFrame) -> Column:
+    """What tells apart rows of docs that have one doc_id, or none: a hash of the text.
+
+    Rows that repeat both are one document: they stay or go together. Where no
+    doc_id is null or repeated, which one pass over the ids tells, it is 0.
+    """
+    repeated = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").limit(1).count()
+    return F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")) if repeated else F.lit(0).cast("long")
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: list[str], held: str, total: int, how: str = "inner", parts: int = 1000) -> DataFrame:
+    """rows joined with table, which has each key once and, in held, the number of rows of that key.
+
+    Keys that hold over a part of total are at most `parts` in number, whatever the
+    data: these are broadcast, so that no task gets all rows of one. The rest is shuffled.
+    """
+    hot, cold = table.where(F.col(held) > total / parts).drop(held), table.where(F.col(held) <= total / parts).drop(held)
+    found = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold.hint("merge"), key, how)
+    return found.unionByName(rest)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import looked_up, written
 
 
 def _mark(edges: DataFrame):
@@ -18,6 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Links and components stay distributed; the driver sees a count and a
     checksum of each round. Each round is written, so that lineage stays short.
+    The centre of a large star is broadcast with its least neighbour.
     """
     e = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = written(e, "edges")
@@ -25,11 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: each node's larger neighbours go to its least neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("held"))
+        large = looked_up(both, least, ["u"], "held", 2 * mark[0]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node and its smaller neighbours go to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("held"))
+        moved = looked_up(large, least, ["u"], "held", mark[0]).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         now = _mark(e)
         if now == mark:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, id_key, small_batches
+from .common import Shared, id_key
 
 PASSAGE, BLOCK = 64, 4
 THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.5, 5
@@ -171,7 +171,6 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     Of several texts with one item_id the best found counts; null is one item_id. Null and empty texts hold none; a null doc_id comes out as null.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     shared = [Shared(spark, x) for x in indexes(items)]  # SHARD items each
 
     def run(batches):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, small_batches
+from .common import Shared, written
 
 #: Documents learned from at most (in expectation), and words and n-grams kept. Bounds of the model, not of what is classified.
 SAMPLE, WORDS, GRAMS = 20_000, 60_000, 60_000
@@ -26,7 +26,11 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    """Runs of letters, lower-cased; digits of any script and number signs are no letters."""
+    found = _LETTERS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split()]
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -56,17 +60,20 @@ def _count(batches):
 
 
 class Model:
-    """Scores of words and n-grams for each language."""
+    """Scores of words and n-grams for each language: a row of a matrix for each."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
-        self.langs, self.words, self.grams = langs, words, grams
+    def __init__(self, langs: list[str], words: tuple[list[str], np.ndarray], grams: tuple[list[str], np.ndarray]):
+        self.langs = langs
+        self.words, self.word_scores = {w: i for i, w in enumerate(words[0])}, words[1]
+        self.grams, self.gram_scores = {g: i for i, g in enumerate(grams[0])}, grams[1]
 
     def word(self, w: str) -> np.ndarray:
         if (found := self.words.get(w)) is not None:
-            return found
+            return self.word_scores[found]
+        get = self.grams.get
         for n in range(LONGEST, 0, -1):
-            if known := [s for g in grams_of(w, n) if (s := self.grams.get(f"{n}{g}")) is not None]:
-                return np.mean(known, 0)
+            if known := [i for g in grams_of(w, n) if (i := get(f"{n}{g}")) is not None]:
+                return self.gram_scores[known].sum(0) / len(known)
         return np.zeros(len(self.langs))
 
 
@@ -77,49 +84,54 @@ def fit(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, grams: int =
     fewer than sample, all are used. What reaches the driver is bounded by words
     and grams.
     """
-    small_batches(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     n = labelled.count()
     if n > sample:
         labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
-    counts = labelled.select("lang", "text").mapInArrow(_count, "lang string, n int, gram string, c long")
-    by = counts.groupBy("n", "gram", "lang").agg(F.sum("c").alias("c")).groupBy("n", "gram").agg(F.sum("c").alias("total"), F.collect_list(F.struct("lang", "c")).alias("by"))
-    top = [by.where(cond).orderBy(F.desc("total"), "n", "gram").limit(k).collect() for cond, k in ((F.col("n") == 0, words), (F.col("n") > 0, grams))]
-    langs = sorted({x["lang"] for rows in top for r in rows for x in r["by"]})
+    langs = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
     if not langs:
         return None
-    at = {lang: i for i, lang in enumerate(langs)}
-
-    def logs(rows, key):
-        out: dict[str, np.ndarray] = {}
-        totals: dict[int, np.ndarray] = {}
-        for r in rows:
-            v = np.full(len(langs), 0.1)
-            for x in r["by"]:
-                v[at[x["lang"]]] += x["c"]
-            out[key(r)] = v
-            totals[r["n"]] = totals.get(r["n"], 0) + v
-        for r in rows:
-            v = np.log(out[key(r)] / totals[r["n"]])
-            out[key(r)] = v - v.mean()
-        return out
-
-    return Model(langs, logs(top[0], lambda r: r["gram"]), logs(top[1], lambda r: f"{r['n']}{r['gram']}"))
-
-
-def _predictor(shared, most: int = 100_000):
+    counts = labelled.select("lang", "text").mapInArrow(_count, "lang string, n int, gram string, c long")
+    place = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1
+    by = counts.groupBy("n", "gram", place.alias("lang")).agg(F.sum("c").alias("c")).groupBy("n", "gram").agg(F.sum("c").alias("total"), F.collect_list(F.struct("lang", "c")).alias("by"))
+    by = written(by, "counts")
+
+    def scores(cond, k):
+        # as Arrow columns: rows of Python objects would be several times as large
+        top = by.where(cond).orderBy(F.desc("total"), "n", "gram").limit(k).select("n", "gram", F.col("by.lang").alias("lang"), F.col("by.c").alias("c")).toArrow().combine_chunks()
+        n, lang, c = (top.column(x).combine_chunks() for x in ("n", "lang", "c"))
+        v = np.full((top.num_rows, len(langs)), 0.1)
+        row = np.repeat(np.arange(top.num_rows), np.diff(lang.offsets.to_numpy()))
+        v[row, lang.flatten().to_numpy().astype(np.int64)] += c.flatten().to_numpy()
+        n = n.to_numpy()
+        for own in np.unique(n):
+            v[n == own] /= v[n == own].sum(0)
+        v = np.log(v)
+        return [g if not m else f"{m}{g}" for m, g in zip(n.tolist(), top.column("gram").to_pylist(), strict=True)], (v - v.mean(1, keepdims=True)).astype(np.float32)
+
+    return Model(langs, scores(F.col("n") == 0, words), scores(F.col("n") > 0, grams))
+
+
+def _predictor(shared, most: int = 400_000):
     def run(batches):
         model = shared.value
         k = len(model.langs)
-        table = np.zeros((most + 1, k))
+        table = np.zeros((1 << 14, k), np.float32)
         index: dict[str, int] = {}
 
-        def row(w):
-            if len(index) >= most:
-                index.clear()
-            i = index[w] = len(index)
-            table[i] = model.word(w)
-            return i
+        def learned(ws):
+            """Rows of the table for ws, with new ones for words not seen before."""
+            nonlocal table
+            if new := [w for w in set(ws) if w not in index]:
+                if len(index) + len(new) > most:
+                    index.clear()
+                    new = list(set(ws))
+                while len(index) + len(new) > len(table):
+                    table = np.concatenate([table, np.zeros_like(table)])
+                for w in new:
+                    table[len(index)] = model.word(w)
+                    index[w] = len(index)
+            return table[np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))]
 
         for b in batches:
             langs, scores = [], []
@@ -131,18 +143,14 @@ def _predictor(shared, most: int = 100_000):
                     continue
                 total = np.zeros(k)
                 for i in range(0, len(ws), 50_000):
-                    if len(index) > most - 50_001:
-                        index.clear()
-                    part = ws[i : i + 50_000]
-                    at = [j if (j := index.get(w)) is not None else row(w) for w in part]
-                    total += table[at].sum(0)
+                    total += learned(ws[i : i + 50_000]).sum(0, dtype=np.float64)
                 p = np.exp(total - total.max())
                 best = int(total.argmax())
                 langs.append(model.langs[best])
                 scores.append(float(p[best] / p.sum()))
             kept = [b.column(i) for i in range(b.num_columns - 1)]
             names = b.schema.names[:-1]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 
     return run
 
@@ -156,7 +164,6 @@ def predict(texts: DataFrame, model: Model | None) -> DataFrame:
     if model is None:
         return texts.select(*others, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     spark = texts.sparkSession
-    small_batches(spark)
     shared = Shared(spark, model)  # bounded by WORDS and GRAMS
     ordered = texts.select(*others, "text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema if f.name != "text")

@@ -1,34 +1,33 @@
 """Near-duplicate documents with an LSH forest over MinHash signatures.
 
 A signature is read in several orders, each from another place. Documents with
-the same first DEPTH values in an order form a region. In a small region all
-pairs are estimated. A crowded one is first reduced by hubs, the documents that
-agree most with the region's consensus: what is nearly equal to a hub is settled
-by it. The rest is sorted by the order's further values: neighbours with the
-longest common prefixes are candidates, and regions deepen until they are small.
-After these are confirmed, rows of one crowded region that are still in different
-groups are all compared, so that no link depends on a hub.
-Candidates are confirmed on full shingle sets and joined to components.
+the same first DEPTH values in an order form a region; a region of more than
+LARGE rows is read one value deeper. Within a region all pairs are estimated; if
+it is still too large, its rows are taken as neighbours in the order. What hangs
+together by estimates forms a cluster; links stay within clusters. There they
+are found exactly on the full sets: all intersections at once where a cluster
+fits a task, by shared rare shingles (prefix filter) where it does not.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import windows as w
-from .common import back_to_id, id_key, partitions, small_batches, written
+from .common import back_to_id, id_key, looked_up, partitions, row_tag, written
 from .components import components
 from .substring_dedup import WordHashes
 
 SHINGLE = 5
 ORDERS, DEPTH = 24, 4
 VALUES = ORDERS * DEPTH
-#: Pairs are candidates if their estimate is at most ERRORS standard errors under the threshold; in a crowded region, from SURE on a hub settles a row.
-ERRORS, SURE = 4.1, 0.93
-SMALL = 48
+#: Rows are taken for near if their estimate is at most ERRORS standard errors under the threshold.
+ERRORS = 4.1
+#: Rows of a region that are compared pair by pair; rows and shingles of a cluster that one task holds.
+LARGE, CLUSTER_ROWS, CLUSTER_SHINGLES = 1024, 4096, 1 << 22
 _MULT = (w.mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1))[None, :]
 _COEF = w.mix(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
@@ -76,7 +75,7 @@ def _signed(batches):
         sig = np.array(sigs, np.uint32).reshape(-1, VALUES)
         keys = region_keys(sig).view(np.int64)
         short = sig.astype(np.uint8)  # values that agree by chance, one in 256, only add candidates
-        yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(sizes, pa.int64()), pa.array(np.array(sums, np.uint64).view(np.int64)), pa.array([r.tobytes() for r in short], pa.binary()), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, ORDERS, dtype=np.int32), pa.array(keys.ravel()))], names=["doc", "n", "whole", "sig", "keys"])
+        yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("tag"), pa.array(sizes, pa.int64()), pa.array(np.array(sums, np.uint64).view(np.int64)), pa.array([r.tobytes() for r in short], pa.binary()), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, ORDERS, dtype=np.int32), pa.array(keys.ravel()))], names=["doc", "tag", "n", "whole", "sig", "keys"])
 
 
 def least_estimate(percent: int) -> float:
@@ -84,174 +83,238 @@ def least_estimate(percent: int) -> float:
     return j - ERRORS * (j * (1 - j) / VALUES) ** 0.5
 
 
-def _hub(sig: np.ndarray) -> int:
-    """The row that agrees most with the values in the middle: a value that most rows share stands there."""
-    return int((sig == np.sort(sig, 0)[len(sig) // 2]).sum(1).argmax())
-
-
-def region_edges(ids: np.ndarray, sig: np.ndarray, order: int, maybe: float):
-    """Candidate pairs (row arrays) among the rows of one region: a few for each row, however large it is."""
-    m = len(ids)
-    if m < 2:
-        return
-    if m <= SMALL:
-        alike = (sig[:, None, :] == sig[None, :, :]).mean(2)
-        i, j = np.nonzero(np.triu(alike >= maybe, 1))
-        yield ids[i], ids[j]
-        return
-    live = np.arange(m)
-    for _ in range(2 if order < ORDERS // 3 else 1):  # the hubs of other orders are much the same
-        hub, near, settled = _to_hub(sig[live], maybe)
-        yield np.full(near.sum(), ids[live[hub]]), ids[live[near]]
-        live = live[~settled]
-        if len(live) < 2:
-            return
-    ids, sig = ids[live], sig[live]
-    turn = np.roll(sig, -(order + 1) * DEPTH, 1)
-    by = np.lexsort(turn[:, 11::-1].T)
-    ids, sig, turn = ids[by], sig[by], turn[by]
-    alike = (sig[1:] == sig[:-1]).mean(1) >= maybe
-    yield ids[:-1][alike], ids[1:][alike]
-    todo = [(0, len(ids), 0)]
-    while todo:  # deeper where it is crowded
-        a, b, depth = todo.pop()
-        if b - a > SMALL and depth < 12:
-            cut = np.flatnonzero(turn[a + 1 : b, depth] != turn[a : b - 1, depth]) + a + 1
-            todo += [(x, y, depth + 1) for x, y in zip([a, *cut.tolist()], [*cut.tolist(), b], strict=True) if y - x > 2]
-        else:
-            hub, near, _ = _to_hub(sig[a:b], maybe)
-            yield np.full(near.sum(), ids[a + hub]), ids[a:b][near]
-
-
-def _to_hub(sig: np.ndarray, maybe: float):
-    """The hub, the rows that may be linked to it, and those that are settled by it (itself included)."""
-    hub = _hub(sig)
-    alike = (sig == sig[hub]).mean(1)
-    near, settled = alike >= maybe, alike >= SURE
-    near[hub] = False
-    return hub, near, settled
-
-
-def bridges(ids: np.ndarray, sig: np.ndarray, groups: np.ndarray, maybe: float):
-    """All candidate pairs of different groups in one region: each row outside the largest group meets all rows."""
-    if (groups == groups[0]).all():
-        return
-    names, which, counts = np.unique(groups, return_inverse=True, return_counts=True)
-    largest = which == counts.argmax()
-    by = np.argsort(largest, kind="stable")  # those of the largest group last
-    ids, sig, which = ids[by], sig[by], which[by]
-    for i in range(len(ids) - int(largest.sum())):
-        for a in range(i + 1, len(ids), 65536):
-            near = ((sig[a : a + 65536] == sig[i]).mean(1) >= maybe) & (which[a : a + 65536] != which[i])
-            yield np.full(near.sum(), ids[i]), ids[a : a + 65536][near]
-
-
-def _region_rows(batches, maybe: float, grouped: bool = False):
-    """Candidate pairs from rows sorted by key; a region that spans batches is carried over. grouped: bridges between groups."""
-    held: list[tuple] = []
-
-    def work(key, doc, sig, group):
-        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        stop = np.append(new[1:], len(key))
-        us, vs = [], []
-        for a, b in zip(new[stop - new > 1].tolist(), stop[stop - new > 1].tolist(), strict=True):
-            rows = np.frombuffer(b"".join(sig[a:b]), np.uint8).reshape(b - a, VALUES)
-            found = bridges(doc[a:b], rows, group[a:b], maybe) if grouped else region_edges(doc[a:b], rows, int(key[a]) & 31, maybe)
-            for u, v in found:
-                us.append(u)
-                vs.append(v)
-        if us:
-            u, v = np.concatenate(us), np.concatenate(vs)
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+def _groups(linked, m: int) -> np.ndarray:
+    """Least row number that each of m rows hangs together with; linked(rows) gives these rows of the link matrix."""
+    root = np.full(m, -1)
+    for i in range(m):
+        if root[i] >= 0:
+            continue
+        root[i] = i
+        edge = np.array([i])
+        while len(edge):
+            new = np.zeros(m, bool)
+            for a in range(0, len(edge), 64):
+                new |= linked(edge[a : a + 64]).any(0)
+            edge = np.flatnonzero(new & (root < 0))
+            root[edge] = i
+    return root
+
+
+def region_groups(sig: np.ndarray, maybe: float) -> np.ndarray:
+    """Groups of the rows of a region that hang together by estimates."""
+    return _groups(lambda rows: (sig[rows][:, None, :] == sig[None, :, :]).mean(2) >= maybe, len(sig))
+
+
+def cluster_groups(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Groups of sets that hang together by 100 * intersection >= percent * union, all intersections counted."""
+    m, n = len(sets), np.array([len(s) for s in sets])
+    if m <= 16:
+        both = np.zeros((m, m))
+        for i in range(m):
+            for j in range(i):
+                if 100 * min(n[i], n[j]) >= percent * max(n[i], n[j]):
+                    both[i, j] = both[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+    else:
+        _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(m), n)
+        keep = count[which] > 1  # what one set alone holds is in no intersection
+        number = np.cumsum(count > 1) - 1
+        row, column = row[keep], number[which[keep]]
+        by = np.argsort(column, kind="stable")
+        row, column = row[by], column[by]
+        both = np.zeros((m, m), np.float32)
+        step = 2048
+        for a in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+            x, y = np.searchsorted(column, [a, a + step])
+            part = np.zeros((m, step), np.float32)
+            part[row[x:y], column[x:y] - a] = 1
+            both += part @ part.T
+    return _groups(lambda rows: 100 * both[rows] >= percent * (n[rows][:, None] + n[None, :] - both[rows]), m)
+
+
+def _by_key(batches, names: list[str], work):
+    """work(columns) for the rows of each key of sorted batches; rows of one key are held together."""
+    held: list = []
+
+    def whole(parts):
+        cols = [np.concatenate([p[i] for p in parts]) for i in range(len(names))]
+        edge = np.append(np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1])), len(cols[0]))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            yield from work([c[a:b] for c in cols])
 
     for b in batches:
-        key, doc, sig = b.column("key").to_numpy(), b.column("doc").to_numpy(), np.array(b.column("sig").to_pylist(), object)
-        group = b.column("group").to_numpy() if grouped else doc
-        if not len(key):
-            continue
-        if held and held[-1][0][-1] == key[0] == key[-1]:
-            held.append((key, doc, sig, group))
+        cols = [b.column(n).to_numpy(zero_copy_only=False) for n in names]
+        if not len(cols[0]):
             continue
-        held.append((key, doc, sig, group))
-        key, doc, sig, group = (np.concatenate(x) for x in zip(*held, strict=True))
-        last = int(np.searchsorted(-(key != key[-1]).astype(np.int8), 0)) if key[0] != key[-1] else 0
-        yield from work(key[:last], doc[:last], sig[:last], group[:last])
-        held = [(key[last:], doc[last:], sig[last:], group[last:])]
+        last = len(cols[0]) - int((cols[0] == cols[0][-1]).sum())
+        if held and (last or held[-1][0][-1] != cols[0][0]):
+            same = int((cols[0] == held[-1][0][-1]).sum())
+            yield from whole([*held, [c[:same] for c in cols]])
+            held = []
+            if same < last:
+                yield from whole([[c[same:last] for c in cols]])
+        elif last:
+            yield from whole([[c[:last] for c in cols]])
+        held.append([c[last:] for c in cols])
     if held:
-        yield from work(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield from whole(held)
+
+
+_EDGES = "u_doc long, u_tag long, v_doc long, v_tag long"
+
+
+def _region_edges(maybe: float):
+    def work(cols):
+        _, doc, tag, sig = cols
+        root = region_groups(np.frombuffer(b"".join(sig), np.uint8).reshape(-1, VALUES), maybe)
+        i = np.flatnonzero(root != np.arange(len(root)))
+        if len(i):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[i], tag[i], doc[root[i]], tag[root[i]])], names=["u_doc", "u_tag", "v_doc", "v_tag"])
+
+    return lambda batches: _by_key(batches, ["key", "doc", "tag", "sig"], work)
 
 
 def _sets(batches):
     hashes = WordHashes()
     for b in batches:
-        sets = [np.unique(shingle_set(t.as_py() or b"", hashes).astype(np.uint32)).tobytes() for t in b.column("text")]
-        yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(sets, pa.binary())], names=["doc", "shingles"])
+        sets = [shingle_set(t.as_py() or b"", hashes).tobytes() for t in b.column("text")]
+        yield pa.RecordBatch.from_arrays([b.column("cluster"), b.column("doc"), b.column("tag"), pa.array(sets, pa.binary())], names=["cluster", "doc", "tag", "shingles"])
+
+
+def _cluster_edges(percent: int):
+    def work(cols):
+        _, doc, tag, shingles = cols
+        root = cluster_groups([np.frombuffer(s, np.uint64) for s in shingles], percent)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, tag, doc[root], tag[root])], names=["u_doc", "u_tag", "v_doc", "v_tag"])
+
+    return lambda batches: _by_key(batches, ["cluster", "doc", "tag", "shingles"], work)
+
+
+def _tokens(batches):
+    for b in batches:
+        for doc, tag, shingles in zip(b.column("doc").to_pylist(), b.column("tag").to_pylist(), b.column("shingles"), strict=True):
+            s = np.frombuffer(shingles.as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), doc)), pa.array(np.full(len(s), tag)), pa.array(np.full(len(s), len(s))), pa.array(s)], names=["doc", "tag", "n", "token"])
 
 
 def _confirm(percent: int):
     def run(batches):
         for b in batches:
             keep = []
-            for x, y, n, m in zip(b.column("su"), b.column("sv"), b.column("nu").to_pylist(), b.column("nv").to_pylist(), strict=True):
-                both = len(np.intersect1d(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32), assume_unique=True))
-                keep.append(100 * both >= percent * (n + m - both))
-            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            for x, y in zip(b.column("su"), b.column("sv"), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("u_doc", "u_tag", "v_doc", "v_tag")], names=["u_doc", "u_tag", "v_doc", "v_tag"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _links(texts: DataFrame, own: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _ends(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+    at = lambda x: F.struct(F.col(f"{x}_doc").alias("doc"), F.col(f"{x}_tag").alias("tag"))
+    return edges.select(at("u").alias(u), at("v").alias(v))
+
+
+def large_links(sets: DataFrame, percent: int) -> DataFrame:
+    """u, v: links among sets (doc, tag, shingles) of clusters of any size, enough of them to connect all that hangs together.
+
+    Two sets of this similarity share one of each one's n - ceil(n * percent / 100) + 1
+    rarest shingles. Rows that share one meet the first of these rows; of those that
+    this leaves in other groups than most of its rows, each meets all rows.
+    """
+    tokens = sets.mapInArrow(_tokens, "doc long, tag long, n long, token long")
+    counts = tokens.groupBy("token").count().where("count > 1")
+    ranked = tokens.join(counts.hint("merge"), "token").groupBy("doc", "tag", "n").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("t"))
+    # shingles that stand nowhere else come first and meet nothing
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("t"))
+    met = ranked.select(F.struct("doc", "tag").alias("at"), "n", F.explode(F.slice("t", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))).alias("t")).select("at", "n", F.col("t.token").alias("token"))
+    met = written(met, "tokens")
+    near = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    first = met.groupBy("token").agg(F.min("at").alias("v"))
+    star = met.join(first.hint("merge"), "token").where(F.col("at") != F.col("v")).select(F.col("at").alias("u"), "v").distinct()
+    links = written(_confirmed(sets, star, percent), "links")
+    group = components(links).withColumnRenamed("node", "at")
+    known = written(met.join(group.hint("merge"), "at", "left").select("token", "at", "n", F.coalesce("component", "at").alias("group")), "known")
+    most = known.groupBy("token", "group").count().groupBy("token").agg(F.max_by("group", F.struct("count", "group")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
+    few = known.join(most.hint("merge"), "token").where(F.col("group") != F.col("most")).select("token", F.col("at").alias("u"), F.col("n").alias("nu"), F.col("group").alias("gu"))
+    all_ = known.select("token", F.col("at").alias("v"), F.col("n").alias("nv"), F.col("group").alias("gv"))
+    rest = few.join(all_.hint("merge"), (few["token"] == all_["token"]) & (F.col("gu") != F.col("gv")) & near(F.col("nu"), F.col("nv")))
+    rest = written(rest.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
+    return links.unionByName(_confirmed(sets, rest, percent))
+
+
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs u, v that are near copies by their full sets."""
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("doc")).distinct()
-    # what grows with the corpus is shuffled, never broadcast, at any size
-    sets = texts.join(ends.hint("merge"), "doc", "left_semi").mapInArrow(_sets, "doc long, shingles binary")
-    sets = written(sets.dropDuplicates(["doc"]).join(own.hint("merge"), "doc"), "sets")
-    u = sets.select(F.col("doc").alias("u"), F.col("shingles").alias("su"), F.col("n").alias("nu"))
-    v = sets.select(F.col("doc").alias("v"), F.col("shingles").alias("sv"), F.col("n").alias("nv"))
-    return pairs.join(u.hint("merge"), "u").join(v.hint("merge"), "v").select("u", "v", "su", "sv", "nu", "nv").mapInArrow(_confirm(percent), "u long, v long")
+    u = sets.select(F.col("doc").alias("u_doc"), F.col("tag").alias("u_tag"), F.col("shingles").alias("su"))
+    v = sets.select(F.col("doc").alias("v_doc"), F.col("tag").alias("v_tag"), F.col("shingles").alias("sv"))
+    pairs = pairs.select(F.col("u.doc").alias("u_doc"), F.col("u.tag").alias("u_tag"), F.col("v.doc").alias("v_doc"), F.col("v.tag").alias("v_tag"))
+    both = pairs.join(u.hint("merge"), ["u_doc", "u_tag"]).join(v.hint("merge"), ["v_doc", "v_tag"])
+    return _ends(both.mapInArrow(_confirm(percent), _EDGES))
+
+
+def candidate_clusters(heads: DataFrame, maybe: float) -> DataFrame:
+    """doc, tag, cluster (a node) of the rows of heads (doc, tag, sig, keys) that may be linked to another."""
+    spark = heads.sparkSession
+    rows = heads.select("doc", "tag", F.explode("keys").alias("key"))
+    beside = Window.partitionBy("key").orderBy("doc", "tag")
+    rows = rows.withColumn("other", F.coalesce(F.lag("doc").over(beside), F.lead("doc").over(beside))).where("other IS NOT NULL").drop("other")
+    rows = written(rows.join(heads.select("doc", "tag", "sig").hint("merge"), ["doc", "tag"]), "shared")
+    # regions that are crowded go one value deeper: its place in the signature follows from the order
+    crowded = rows.groupBy("key").count().where(F.col("count") > LARGE)
+    order = F.col("key").bitwiseAND(F.lit(31))
+    deeper = F.xxhash64("key", F.substring("sig", ((order * DEPTH + DEPTH) % VALUES + 1).cast("int"), F.lit(1)))
+    total = rows.count()
+    rows = looked_up(rows, crowded.withColumn("held", F.col("count")), ["key"], "held", total, "left").withColumn("key", F.when(F.col("count") > LARGE, deeper).otherwise(F.col("key"))).withColumn("deep", F.col("count").isNotNull()).drop("count")
+    rows = written(rows, "regions")
+    many = rows.where("deep").groupBy("key").agg(F.count("*").alias("count"), F.min(F.struct("doc", "tag")).alias("v")).where(F.col("count") > LARGE)
+    named = looked_up(rows, many.withColumnRenamed("count", "held"), ["key"], "held", total, "left")
+    chained = named.where("v IS NOT NULL").select(F.struct("doc", "tag").alias("u"), "v")
+    rest = named.where("v IS NULL").select("doc", "tag", "key", "sig")
+    rest = rest.repartition(partitions(spark), "key").sortWithinPartitions("key", "doc", "tag")
+    edges = _ends(rest.mapInArrow(_region_edges(maybe), _EDGES))
+    found = components(edges.unionByName(chained))
+    return found.select("node.doc", "node.tag", F.col("component").alias("cluster"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc, n_shingles, component for each row of docs (doc_id, text).
+    """doc, tag, n_shingles, component (doc, tag) for each row of docs (doc_id, text).
 
     Documents whose shingle sets have 100 * intersection >= percent * union are
     linked; component is the smallest doc_id reachable. Null texts and those
-    without words have no shingles and are linked with nothing. A null doc_id
-    counts as one id after all others (doc is then NULL_ID). Documents with equal
-    sets are one in all stages after the first.
+    without words have no shingles and are linked with nothing. Rows of one
+    doc_id, or of none, and different texts are documents of their own (tag tells
+    them apart; null ids come last); rows that repeat both are one. Documents
+    with equal sets are one in all stages after the first.
     """
+    texts = docs.select(id_key().alias("doc"), row_tag(docs).alias("tag"), F.col("text").cast("binary").alias("text"))
+    signed = written(texts.mapInArrow(_signed, "doc long, tag long, n long, whole long, sig binary, keys array<long>"), "signatures")
+    some, total = signed.where(F.col("n") > 0), signed.count()
+    heads = written(some.groupBy("n", "whole").agg(F.min(F.struct("doc", "tag")).alias("head"), F.count("*").alias("held")), "heads")
+    first = heads.select("head.doc", "head.tag")
+    own = written(some.select("doc", "tag", "sig", "keys").join(first.hint("merge"), ["doc", "tag"]).dropDuplicates(["doc", "tag"]), "own")
+    clusters = candidate_clusters(own, least_estimate(percent))
+    # what grows with the corpus is shuffled, never broadcast, at any size
+    sets = texts.join(clusters.withColumn("cluster", F.xxhash64("cluster.doc", "cluster.tag")).hint("merge"), ["doc", "tag"]).dropDuplicates(["doc", "tag"])
+    sets = written(sets.select("cluster", "doc", "tag", "text").mapInArrow(_sets, "cluster long, doc long, tag long, shingles binary"), "sets")
+    weight = sets.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum(F.octet_length("shingles") / 8).alias("shingles_in"))
+    large = weight.where((F.col("rows") > CLUSTER_ROWS) | ((F.col("rows") > 16) & (F.col("shingles_in") > CLUSTER_SHINGLES))).select("cluster")
+    large = written(large, "large")
     spark = docs.sparkSession
-    small_batches(spark)
-    texts = docs.select(id_key().alias("doc"), F.col("text").cast("binary").alias("text"))
-    signed = written(texts.mapInArrow(_signed, "doc long, n long, whole long, sig binary, keys array<long>"), "signatures")
-    some = signed.where(F.col("n") > 0)
-    heads = some.groupBy("n", "whole").agg(F.min("doc").alias("head"))
-    members = written(some.select("doc", "n", "whole").join(heads, ["n", "whole"]).select("doc", "head", "n"), "members")
-    own = members.where(F.col("doc") == F.col("head")).select("doc", "n").distinct()
-    heads = some.select("doc", "sig", "keys").dropDuplicates(["doc"]).join(own.hint("merge"), "doc")
-    rows = heads.select("doc", "sig", F.explode("keys").alias("key"))
-    rows = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "doc")
-    maybe = least_estimate(percent)
-    pairs = written(rows.mapInArrow(lambda bs: _region_rows(bs, maybe), "u long, v long").distinct(), "pairs")
-    links = written(_links(texts, own, pairs, percent), "links")
-    # crowded regions once more: whatever the hubs left in different groups is compared in full
-    keys = heads.select("doc", F.explode("keys").alias("key"))
-    crowded = keys.groupBy("key").count().where(F.col("count") > SMALL).select("key")
-    group = components(links).select(F.col("node").alias("doc"), F.col("component").alias("group"))
-    again = keys.join(crowded.hint("merge"), "key").join(group.hint("merge"), "doc", "left").select("doc", "key", F.coalesce("group", "doc").alias("group"))
-    mixed = written(again, "crowded")
-    open_ = mixed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where(F.col("low") != F.col("high")).select("key")
-    rows = mixed.join(open_.hint("merge"), "key").join(heads.select("doc", "sig").hint("merge"), "doc").select("doc", "sig", "key", "group")
-    rows = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "doc")
-    more = written(rows.mapInArrow(lambda bs: _region_rows(bs, maybe, True), "u long, v long").distinct(), "pairs")
-    found = components(links.unionByName(_links(texts, own, more, percent))).select(F.col("node").alias("head"), "component")
-    known = members.join(found, "head", "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "head").alias("component"))
-    return known.unionByName(signed.where(F.col("n") == 0).select("doc", F.col("n").alias("n_shingles"), F.col("doc").alias("component")))
+    fits = sets.join(large.hint("merge"), "cluster", "left_anti").repartition(partitions(spark), "cluster").sortWithinPartitions("cluster", "doc", "tag")
+    found = _ends(fits.mapInArrow(_cluster_edges(percent), _EDGES), "head", "component")
+    if large.limit(1).count():
+        big = written(sets.join(large.hint("merge"), "cluster", "left_semi").drop("cluster"), "large_sets")
+        found = found.unionByName(components(written(large_links(big, percent), "links")).select(F.col("node").alias("head"), "component"))
+    known = heads.join(found.hint("merge"), "head", "left").select("n", "whole", "held", F.coalesce("component", "head").alias("component"))
+    out = looked_up(some.select("doc", "tag", "n", "whole"), written(known, "known"), ["n", "whole"], "held", total)
+    none = signed.where(F.col("n") == 0).select("doc", "tag", F.col("n").alias("n_shingles"), F.struct("doc", "tag").alias("component"))
+    return out.select("doc", "tag", F.col("n").alias("n_shingles"), "component").unionByName(none)
 
 
 def op6(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of docs; nulls and repeats as near_duplicates() has them."""
     out = near_duplicates(docs)
-    return out.select(back_to_id("doc").alias("doc_id"), "n_shingles", back_to_id("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
+    return out.select(back_to_id("doc").alias("doc_id"), "n_shingles", back_to_id("component.doc").alias("component_id"), (F.col("doc") == F.col("component.doc")).alias("kept"))
 
 
 def brute_force(rows, percent: int = 85):

@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 
 _DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", re.S | re.I)
 _BREAK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|table|tr|td|th|section|article|aside|header|footer|nav|main|title|head|body|html|pre|blockquote|form|figure)\b[^>]*>", re.I)
@@ -113,7 +112,6 @@ def derivatives(pages: DataFrame) -> DataFrame:
 
     Nulls: see response(). Pages that repeat id and url get equal identifiers.
     """
-    small_batches(pages.sparkSession, 1000)
 
     def run(batches):
         names = [x.split()[0] for x in SCHEMA.split(", ")]

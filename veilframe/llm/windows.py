@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, written
+from .common import partitions, written
 
 POS_BITS = 24
 POS_MASK = np.uint64((1 << POS_BITS) - 1)
@@ -263,7 +263,6 @@ def repeated_spans(texts: DataFrame, symbols, cut, compare, length: int, k: int,
     repeated windows. Returns texts by doc, and (doc, spans: array of start, n).
     """
     spark = texts.sparkSession
-    small_batches(spark)
     found = texts.mapInArrow(lambda bs: piece_batches(symbols(texts_of(bs)), length, k), PIECE_SCHEMA)
     found = found.repartition(partitions(spark), "k").sortWithinPartitions("anchor", "piece", "doc", "start")
     verdicts = written(found.mapInArrow(lambda bs: settle(bs, first_stays), VERDICT_SCHEMA), "windows")
