@@ -109,6 +109,7 @@ def chains(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def op2_chat_format(spark, sf_dir):
+    """All conversations and one of control strings, formatted and read back; nulls and repeats as in chains()."""
     hard = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(extra)

@@ -3,8 +3,8 @@
 Items are cut into parts of at most PASSAGE words and held in an inverted index
 whose impacts are BM25 weights divided by the part's score against itself, so
 that one threshold serves all. Parts stand in blocks; each term has its largest
-impact in each block. A training document is read in overlapping passages, each
-a query: blocks whose summed maxima stay below the threshold are skipped, in the
+impact in each block. A training document is read in overlapping passages, of one
+and a half parts so that any part lies whole in one, each a query: blocks whose summed maxima stay below the threshold are skipped, in the
 others the lists of the passage's terms are walked in the WAND manner. All parts
 above the threshold are verified against the words around the passage: enough of
 the question's and of the answer's word 5-grams must be there.
@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, id_key
+from .common import Shared, id_key, row_tag
 
 PASSAGE, BLOCK = 64, 4
-THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.5, 5
-#: Items of one index; more are searched in further indexes.
-SHARD = 2000
+THRESHOLD, OVERLAP, SHINGLE = 0.5, 0.5, 5
+#: Parts of the items of one index; more are searched in further indexes.
+SHARD = 4000
 _WORDS = re.compile(r"\w+")
 
 
@@ -121,14 +121,14 @@ class Index:
         seg, term = keys // none, keys % none
         starts = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
         out = []
-        bounds = np.zeros((int(seg[-1]) + 2, self.blocks), np.float32)
+        bounds = np.zeros((int(seg[-1]) + 3, self.blocks), np.float32)
         for a in range(0, len(starts), 512):
             rows = starts[a : a + 512]
             stop = starts[a + 512] if a + 512 < len(starts) else len(seg)
             bounds[seg[rows]] = np.add.reduceat(self.block_max[term[rows[0] : stop]], rows - rows[0], axis=0)
-        hits, blocks = np.nonzero(bounds[:-1] + bounds[1:] >= threshold - 1e-4)
+        hits, blocks = np.nonzero(bounds[:-2] + bounds[1:-1] + bounds[2:] >= threshold - 1e-4)
         for s, block in zip(hits.tolist(), blocks.tolist(), strict=True):
-            terms = np.unique(term[np.searchsorted(seg, s) : np.searchsorted(seg, s + 2)]).tolist()
+            terms = np.unique(term[np.searchsorted(seg, s) : np.searchsorted(seg, s + 3)]).tolist()
             out += [(p, s * half) for p in self.wand(terms, block, threshold - 1e-9)]
         return out
 
@@ -138,7 +138,7 @@ class Index:
         for part, at in self.search(words, threshold):
             item = self.items[part]
             reach = max(PASSAGE, self.lengths[item])
-            near = words[max(0, at - reach) : at + PASSAGE + reach]
+            near = words[max(0, at - reach) : at + 2 * PASSAGE + reach]
             shares = []
             for wanted in self.checks[item]:
                 n = len(next(iter(wanted))) if wanted else 0
@@ -149,49 +149,68 @@ class Index:
         return out
 
 
-def indexes(items: DataFrame) -> list[Index]:
-    """Indexes of at most SHARD texts each, one at a time on the driver's way to the executors.
+def indexes(items: DataFrame):
+    """Indexes of texts of at most SHARD parts together (or of one longer text), built one after the other on the driver.
 
     The test items are the small, given side; null and empty texts are left out.
     Each row is indexed under a number of its own; ids has the item_id, which
-    may be null or stand in several rows.
+    may be null or stand in several rows. Items of fewer than SHINGLE words,
+    which any text may hold, are in whole alone: words to ids.
     """
-    rows = [(r["item_id"], r["text"]) for r in items.where(F.col("text").isNotNull()).select("item_id", "text").orderBy("item_id", "text").collect()]
-    out = []
-    for i in range(0, len(rows), SHARD):
-        index = Index([(n, t) for n, (_, t) in enumerate(rows[i : i + SHARD])])
-        index.ids = [item for item, _ in rows[i : i + SHARD]]
-        out.append(index)
-    return out
+    held: list[tuple] = []
+    size = 0
+
+    def index():
+        out = Index([(n, t) for n, (_, t) in enumerate(held) if len(words_of(t)) >= SHINGLE])
+        out.ids = [item for item, _ in held]
+        out.whole = {}
+        for item, t in held:
+            if 0 < len(w := words_of(t)) < SHINGLE:
+                out.whole.setdefault(tuple(w), []).append(item)
+        return out
+
+    for r in items.where(F.col("text").isNotNull()).select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
+        parts = 1 + len(r["text"]) // (4 * PASSAGE)
+        if held and size + parts > SHARD:
+            yield index()
+            held, size = [], 0
+        held.append((r["item_id"], r["text"]))
+        size += parts
+    if held:
+        yield index()
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, question_overlap, answer_overlap: one row for each item that a document holds.
+    """doc, tag, item_id, question_overlap, answer_overlap: one row for each item that a document holds.
 
-    Of several texts with one item_id the best found counts; null is one item_id. Null and empty texts hold none; a null doc_id comes out as null.
+    Of several texts with one item_id the best found counts; null is one item_id.
+    An item of fewer than SHINGLE words is found in documents that hold these
+    words and no others. Null and empty texts hold none. Rows of one doc_id, or of
+    none, and different texts are told apart by tag.
     """
     spark = docs.sparkSession
-    shared = [Shared(spark, x) for x in indexes(items)]  # SHARD items each
+    # each index is bounded by SHARD parts; a worker holds one of them at a time
+    shared = [Shared(spark, x) for x in indexes(items)]
 
     def run(batches):
-        loaded = [x.value for x in shared]
+        only = shared[0].value if len(shared) == 1 else None
         for b in batches:
-            rows = [[], [], [], []]
-            for doc, text in zip(b.column("doc").to_pylist(), b.column("text"), strict=True):
-                if not text.is_valid:
-                    continue
-                words = words_of(text.as_py())
-                best: dict = {}
-                for index in loaded:
-                    for n, shares in index.verified(words).items():
-                        best[index.ids[n]] = max(best.get(index.ids[n], (0.0, 0.0)), shares)
-                for item, (q, a) in best.items():
-                    for r, x in zip(rows, (doc, item, q, a), strict=True):
-                        r.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["doc", "item_id", "question_overlap", "answer_overlap"])
-
-    texts = docs.select(id_key().alias("doc"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc long, item_id long, question_overlap double, answer_overlap double")
+            texts = [words_of(t.as_py()) if t.is_valid else [] for t in b.column("text")]
+            best: dict = {}
+            for s in shared:
+                index = only or s.value
+                for i, words in enumerate(texts):
+                    found = [(index.ids[n], shares) for n, shares in index.verified(words).items()]
+                    if words and len(words) < SHINGLE:
+                        found += [(item, (1.0, 1.0)) for item in index.whole.get(tuple(words), ())]
+                    for item, shares in found:
+                        best[i, item] = max(best.get((i, item), (0.0, 0.0)), shares)
+            at = pa.array([i for i, _ in best], pa.int64())
+            cols = [[item for _, item in best], [q for q, _ in best.values()], [a for _, a in best.values()]]
+            yield pa.RecordBatch.from_arrays([b.column("doc").take(at), b.column("tag").take(at), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.float64(), pa.float64()), strict=True))], names=["doc", "tag", "item_id", "question_overlap", "answer_overlap"])
+
+    texts = docs.select(id_key().alias("doc"), row_tag(docs).alias("tag"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, "doc long, tag long, item_id long, question_overlap double, answer_overlap double")
 
 
 def brute_force(docs, items):
@@ -203,6 +222,9 @@ def brute_force(docs, items):
             q, a = (shingles(x) for x in question_and_answer(t or ""))
             have = {n: {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} for n in range(1, SHINGLE + 1)}
             share = lambda s: len([x for x in s if x in have[len(x)]]) / len(s) if s else 1.0  # noqa: E731, B023
-            if (q or a) and min(share(q), share(a)) >= OVERLAP:
+            if len(words_of(t or "")) < SHINGLE:
+                if words and words == words_of(t or ""):
+                    out.add((doc, item))
+            elif (q or a) and min(share(q), share(a)) >= OVERLAP:
                 out.add((doc, item))
     return out

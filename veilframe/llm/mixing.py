@@ -93,6 +93,7 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, seed: int = 7, weights
 
 
 def op8_mixing(spark, sf_dir):
+    """The mix of all documents; nulls, ties and repeats as in mix()."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return mix(documents(spark, sf_dir), labels).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as w
-from .common import back_to_id, id_key
+from .common import back_to_id, id_key, row_tag
 
 #: Words in an anchor.
 K = 8
@@ -130,15 +130,15 @@ def _stream_shards(length: int):
         anchor, automaton = None, SuffixAutomaton()
         for b in batches:
             out: list[tuple[int, int, int, int]] = []
-            for a, doc, start, content in zip(b.column("anchor").to_pylist(), b.column("doc").to_pylist(), b.column("start").to_pylist(), b.column("content").to_pylist(), strict=True):
+            for a, doc, tag, start, content in zip(*(b.column(c).to_pylist() for c in ("anchor", "doc", "tag", "start", "content")), strict=True):
                 seq = content.split()
                 if a != anchor:
                     anchor, automaton = a, SuffixAutomaton()
                 else:
-                    out += [(doc, start + at, n) for at, n in matched_spans(automaton, seq, length)]
+                    out += [(doc, tag, start + at, n) for at, n in matched_spans(automaton, seq, length)]
                 automaton.add(seq)
-            cols = list(zip(*out, strict=True)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], names=["doc", "start", "n"])
+            cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 3 else pa.int64()) for i, c in enumerate(cols)], names=["doc", "tag", "start", "n"])
 
     return run
 
@@ -146,17 +146,18 @@ def _stream_shards(length: int):
 def repeated_spans(docs: DataFrame, length: int = 20) -> tuple[DataFrame, DataFrame]:
     """Texts and, for each document with any, its windows that occurred earlier.
 
-    Returns (doc, text) and (doc, spans: array of start and number of windows).
-    Earlier means a smaller doc_id, or the same document and an earlier start.
-    Null texts have no window. A null doc_id counts as one id after all others.
-    Rows that repeat a doc_id and text are the same document.
+    Returns (doc, tag, text) and (doc, tag, spans: array of start and number of windows).
+    Earlier means a smaller doc_id, null last, or the same document and an earlier
+    start; rows of one doc_id, or of none, and different texts are documents of their
+    own, in an order of their texts' hashes. Rows that repeat both are the same
+    document. Null texts have no window.
     """
-    texts = docs.select(id_key().alias("doc"), F.col("text").cast("binary").alias("text"))
+    texts = docs.select(id_key().alias("doc"), row_tag(docs).alias("tag"), F.col("text").cast("binary").alias("text"))
     return w.repeated_spans(texts, _symbols, _cut, _stream_shards(length), length, K, first_stays=True)
 
 
 def remove_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text: each document without its repeated windows.
+    """doc_id, n_words, n_removed, kept_text: each document without its repeated windows, see repeated_spans().
 
     Null or empty texts: no words, an empty kept text.
     """
@@ -164,8 +165,8 @@ def remove_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = [[], [], [], []]
-            for doc, t, s in zip(b.column("doc").to_pylist(), b.column("text"), b.column("spans"), strict=True):
+            rows = [[], [], []]
+            for t, s in zip(b.column("text"), b.column("spans"), strict=True):
                 words = (t.as_py() or b"").split()
                 gone = 0
                 if s.is_valid and words:
@@ -175,11 +176,11 @@ def remove_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
                     kept = b" ".join(compress(words, (~cover).tolist()))
                 else:
                     kept = b" ".join(words)
-                for r, x in zip(rows, (doc, len(words), gone, kept), strict=True):
+                for r, x in zip(rows, (len(words), gone, kept), strict=True):
                     r.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.binary())], names=["doc", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], names=["doc", "n_words", "n_removed", "kept"])
 
-    out = keyed.join(spans, "doc", "left").mapInArrow(run, "doc long, n_words long, n_removed long, kept binary")
+    out = keyed.join(spans, ["doc", "tag"], "left").select("doc", "text", "spans").mapInArrow(run, "doc long, n_words long, n_removed long, kept binary")
     return out.select(back_to_id("doc").alias("doc_id"), "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as w
-from .common import back_to_id, id_key
+from .common import back_to_id, id_key, row_tag
 
 #: Bytes in an anchor.
 K = 200
@@ -278,19 +278,18 @@ def _cut(text: bytes):
 
 def _compare_shards(length: int):
     def shard(rows):
-        docs, starts, ns = [], [], []
-        for (doc, start, _, state, _), flags in zip(rows, repeated_in([r[4] for r in rows], [r[2] >> 16 for r in rows], length), strict=True):
+        out = [[], [], [], []]
+        for (doc, tag, start, _, state, _), flags in zip(rows, repeated_in([r[5] for r in rows], [r[3] >> 16 for r in rows], length), strict=True):
             if state == w.OPEN:
                 at, n = runs(flags)
-                docs += [doc] * len(at)
-                starts += (at + start).tolist()
-                ns += n.tolist()
-        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(ns, pa.int32())], names=["doc", "start", "n"])
+                for o, x in zip(out, ([doc] * len(at), [tag] * len(at), (at + start).tolist(), n.tolist()), strict=True):
+                    o += x
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 3 else pa.int64()) for i, c in enumerate(out)], names=["doc", "tag", "start", "n"])
 
     def run(batches):
         rows, size, last = [], 0, None
         for b in batches:
-            cols = (b.column(c).to_pylist() for c in ("anchor", "doc", "start", "n", "state", "content"))
+            cols = (b.column(c).to_pylist() for c in ("anchor", "doc", "tag", "start", "n", "state", "content"))
             for anchor, *row in zip(*cols, strict=True):
                 if size >= SHARD and anchor != last:
                     yield shard(rows)
@@ -308,17 +307,17 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept: each document without its repeated windows.
 
     A window of length bytes is removed if it also starts at any other place,
-    same document included. Null texts count as empty. A null doc_id is one id.
-    Rows that repeat a doc_id and text are the same document. kept is binary:
-    a removed span may end inside a character.
+    same document included. Null texts count as empty. Rows of one doc_id, or of
+    none, and different texts are documents of their own; rows that repeat both
+    are the same document. kept is binary: a removed span may end inside a character.
     """
-    texts = docs.select(id_key().alias("doc"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    texts = docs.select(id_key().alias("doc"), row_tag(docs).alias("tag"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     keyed, spans = w.repeated_spans(texts, _symbols, _cut, _compare_shards(length), length, K, first_stays=False)
 
     def run(batches):
         for b in batches:
-            rows = [[], [], [], [], []]
-            for doc, t, s in zip(b.column("doc").to_pylist(), b.column("text"), b.column("spans"), strict=True):
+            rows = [[], [], [], []]
+            for t, s in zip(b.column("text"), b.column("spans"), strict=True):
                 text, gone, number = t.as_py(), 0, 0
                 kept = text
                 if s.is_valid and text:
@@ -326,11 +325,11 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
                     cover = w.covered((v[0].to_numpy(), v[1].to_numpy()), len(text), length - 1)
                     gone, number = int(cover.sum()), len(runs(cover)[0])
                     kept = np.frombuffer(text, np.uint8)[~cover].tobytes()
-                for r, x in zip(rows, (doc, len(text), gone, number, kept), strict=True):
+                for r, x in zip(rows, (len(text), gone, number, kept), strict=True):
                     r.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(r, pa.binary() if i == 4 else pa.int64()) for i, r in enumerate(rows)], names=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), *(pa.array(r, pa.binary() if i == 3 else pa.int64()) for i, r in enumerate(rows))], names=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    out = keyed.join(spans, "doc", "left").mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = keyed.join(spans, ["doc", "tag"], "left").select("doc", "text", "spans").mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.select(back_to_id("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
 
 

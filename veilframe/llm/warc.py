@@ -129,5 +129,6 @@ def derivatives(pages: DataFrame) -> DataFrame:
 
 
 def op5_warc_derivatives(spark, sf_dir):
+    """Metadata and conversion records of all pages; nulls as in derivatives()."""
     out = derivatives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return out.select("page_id", "kind", "record_id", "refers_to", "target_uri", "source_digest", "block_digest", "content_length", F.sha2("record", 256).alias("record_sha256"))
