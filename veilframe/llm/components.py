@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import looked_up, written
+from .common import dropped, looked_up, written
 
 
 def _mark(edges: DataFrame):
@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("held"))
         moved = looked_up(large, least, ["u"], "held", mark[0]).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, e = e, written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        dropped(last)
         now = _mark(e)
         if now == mark:
             break
