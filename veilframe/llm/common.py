@@ -91,12 +91,15 @@ def row_tag(docs: DataFrame) -> Column:
     return F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")) if repeated else F.lit(0).cast("long")
 
 
-def looked_up(rows: DataFrame, table: DataFrame, key: list[str], held: str, total: int, how: str = "inner", parts: int = 1000) -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, key: list[str], held: str, total: int, how: str = "inner", parts: int = 1000, least: int = 0) -> DataFrame:
     """rows joined with table, which has each key once and, in held, the number of rows of that key.
 
     Keys that hold over a part of total are at most `parts` in number, whatever the
     data: these are broadcast, so that no task gets all rows of one. The rest is shuffled.
+    Of fewer rows than least in all, no key is too much for a task.
     """
+    if total < least:
+        return rows.join(table.drop(held).hint("merge"), key, how)
     hot, cold = table.where(F.col(held) > total / parts).drop(held), table.where(F.col(held) <= total / parts).drop(held)
     found = rows.join(F.broadcast(hot), key)
     rest = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold.hint("merge"), key, how)

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import dropped, looked_up, written
 
 
+#: Edges from which the largest stars are split.
+FEW = 1_000_000
+
+
 def _mark(edges: DataFrame):
     r = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND((1 << 31) - 1))).collect()[0]
     return tuple(r)
@@ -27,10 +31,10 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: each node's larger neighbours go to its least neighbour
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("held"))
-        large = looked_up(both, least, ["u"], "held", 2 * mark[0]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = looked_up(both, least, ["u"], "held", 2 * mark[0], least=FEW).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node and its smaller neighbours go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("held"))
-        moved = looked_up(large, least, ["u"], "held", mark[0]).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = looked_up(large, least, ["u"], "held", mark[0], least=FEW).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, e = e, written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         dropped(last)
         now = _mark(e)
