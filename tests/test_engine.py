@@ -101,6 +101,22 @@ def test_clip_limits_what_a_unit_changes(spark):
         assert math.sqrt(sum((whole[g] - rest[g]) ** 2 for g in whole)) <= 5.0 + 1e-9
 
 
+def test_distinct_values_of_a_unit_are_limited(spark):
+    # unit 0 has each value together with one other unit; without it the values must not count for more
+    rows = [(0, v) for v in range(300)] + [(v + 1, v) for v in range(300)] + [(0, v) for v in range(300, 600)]
+    unit, par = PrivacyUnit.of({"a": ([], "u")}), ledger.Parameters(1, 1e-3, max_multiplicity=10.0)
+    found = []
+    for kept in (rows, [x for x in rows if x[0]], [x for x in rows if x[0] != 5]):
+        c = Catalog()
+        c.add("a", spark.createDataFrame([(u, float(v)) for u, v in kept], "u long, v double"), {"v": Bounds.of((0.0, 1000.0))}, set())
+        out = rewrite_with_dp(c.sql("SELECT count(DISTINCT v) AS n, sum(DISTINCT v) AS s FROM a"), unit, c.tables, par, draw=lambda sigma: F.lit(0.0)).relation
+        found.append(out.dataframe(spark).collect()[0])
+    whole = found[0]
+    assert whole.n in range(300, 311)
+    for x in found[1:]:
+        assert abs(whole.n - x.n) <= 10 and abs(whole.s - x.s) <= 10 * 1000.0
+
+
 def test_ledger_does_not_depend_on_bounds():
     unit = PrivacyUnit.of({"a": ([], "u")})
     found = []

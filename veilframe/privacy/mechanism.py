@@ -72,8 +72,7 @@ class DpReduce(Relation):
 
     def plan(self) -> dict[tuple, dict[str, float]]:
         """For each set of rows (all, or the distinct values of a column), the sums and their clips."""
-        p = self.parameters
-        multiplicity = p.multiplicity(self.tracked.size[1], self.tracked[UNIT].unique)
+        p, multiplicity = self.parameters, float(self._multiplicity())
         parts: dict = {}
         ranges, clips = self.tracked.bounds(), dict(p.clips)
         for _, a in self.reduce.aggs:
@@ -128,15 +127,16 @@ class DpReduce(Relation):
         out = shown
         for part, sums in self.plan().items():
             rows = df.select(UNIT, *[quoted(c) for c in dict.fromkeys([*keys, *(c for c, _ in sums if c is not None)])])
-            if part is not None:  # each value of a group once, with one unit that has it
-                rows = rows.where(F.col(quoted(part)).isNotNull()).groupBy(*[quoted(c) for c in dict.fromkeys([*keys, part])]).agg(F.min(UNIT).alias(UNIT))
             cols, clips = {}, {}
             for (c, kind), clip in sums.items():
                 name = self._name(part, c, kind)
                 x = F.lit(1.0) if c is None else F.col(quoted(c)).cast("double") if kind != "n" else F.when(F.col(quoted(c)).isNull(), 0.0).otherwise(1.0)
                 cols[name] = x * x if kind == "q" else x
                 clips[name] = clip
-            own = t.l2_clipped_sums(rows.select(UNIT, *[quoted(k) for k in keys], *[e.alias(k) for k, e in cols.items()]), UNIT, keys, clips)
+            if part is None:
+                own = t.l2_clipped_sums(rows.select(UNIT, *[quoted(k) for k in keys], *[e.alias(k) for k, e in cols.items()]), UNIT, keys, clips)
+            else:
+                own = self._of_distinct(rows, part, cols, clips)
             if out is None:
                 out = own
             elif keys:
@@ -156,7 +156,7 @@ class DpReduce(Relation):
                 top = size if math.isfinite(size) else None
                 b = UNKNOWN
                 if top is not None:
-                    bound = 1.0 if kind == "n" else clip / self.parameters.multiplicity(size, self.tracked[UNIT].unique)
+                    bound = 1.0 if kind == "n" else clip / self._multiplicity()
                     b = Bounds.of((-bound * top if kind == "s" else 0.0, bound * top))
                 elif kind != "s":
                     b = Bounds.of((0.0, 1.7e308))
@@ -185,6 +185,23 @@ class DpReduce(Relation):
                 made.append((F.sqrt(var) if a.name == "std" else var).alias(name))
         return out.select(*made)
 
+    def _multiplicity(self) -> int:
+        return max(1, math.floor(self.parameters.multiplicity(self.tracked.size[1], self.tracked[UNIT].unique)))
+
+    def _of_distinct(self, rows: DataFrame, part: str, cols: dict, clips: dict) -> DataFrame:
+        """Sums over the different values of a column in each group.
+
+        Every unit brings as many values as its multiplicity allows, chosen from
+        its own rows alone, before values are made different: without a unit, at
+        most these values go, each of which is clipped.
+        """
+        keys, many = [quoted(k) for k in self.reduce.keys], self._multiplicity()
+        value = [*keys, *([quoted(part)] if part not in self.reduce.keys else [])]
+        rows = rows.where(F.col(UNIT).isNotNull() & F.col(quoted(part)).isNotNull()).select(UNIT, *value).distinct()
+        own = t.limit_contributions(rows, UNIT, many, F.xxhash64(*value))
+        sums = [F.sum(F.greatest(F.lit(-clips[k] / many), F.least(F.lit(clips[k] / many), e))).alias(k) for k, e in cols.items()]
+        return own.select(*value).distinct().groupBy(*keys).agg(*sums)
+
     @staticmethod
     def _name(part, c, kind):
         plain = "" if c is None else hashlib.md5(c.encode()).hexdigest()[:12]

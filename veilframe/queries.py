@@ -101,6 +101,7 @@ ORACLE |= {
     "pup_reduce": "SELECT md5(o_custkey::VARCHAR) AS unit, o_orderstatus, count(*) AS n, ROUND(sum(o_totalprice), 2) AS total, count(*)::BIGINT AS weight FROM orders GROUP BY ALL",
     "pup_join": "SELECT md5(c_custkey::VARCHAR) AS unit, c_name, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey",
     "pup_row": "SELECT count(*) AS n, count(*) AS units FROM events",
+    "dp_exact_distinct": "SELECT l_returnflag, count(DISTINCT l_quantity) AS n, sum(DISTINCT l_quantity) AS total FROM lineitem GROUP BY l_returnflag",
     "dp_exact_sums": "WITH s AS (SELECT o_custkey, o_orderpriority AS p, sum(o_totalprice) AS s, count(*)::DOUBLE AS n FROM orders GROUP BY ALL), f AS (SELECT p, s / greatest(1.0, sqrt(sum(s * s) OVER (PARTITION BY o_custkey)) / 50000000.0) AS s, n / greatest(1.0, sqrt(sum(n * n) OVER (PARTITION BY o_custkey)) / 100.0) AS n FROM s) SELECT p AS o_orderpriority, ROUND(sum(s), 2) AS total, round(sum(n))::BIGINT AS n FROM f GROUP BY 1",
     "dp_keys_threshold_exact": f"SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1 HAVING count(DISTINCT c_custkey) > {tau(0.5, 5e-4, 5)!r}",
     "dp_keys_public": "SELECT f AS l_returnflag, s AS l_linestatus FROM (VALUES ('A'), ('N'), ('R')) x(f), (VALUES ('F'), ('O')) y(s)",
@@ -219,6 +220,11 @@ def dp_exact_sums(spark, d):
     return out.select("o_orderpriority", F.round("total", 2).alias("total"), "n")
 
 
+def dp_exact_distinct(spark, d):
+    c = catalog(spark, d)
+    return _rewrite(c, "SELECT l_returnflag, count(DISTINCT l_quantity) AS n, sum(DISTINCT l_quantity) AS total FROM lineitem GROUP BY l_returnflag", HALF, _silent).relation.dataframe(spark)
+
+
 def dp_keys_threshold_exact(spark, d):
     c = catalog(spark, d)
     return _rewrite(c, "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey", HALF, _silent).relation.dataframe(spark)
@@ -293,7 +299,7 @@ def flagship(spark, d):
 
 
 QUERIES = {name: _text(name) for name in SQL}
-QUERIES |= {f.__name__: f for f in (values_join, set_union_by_name, l1_norms, l2_norms, l2_clipped_sums, limit_contributions, public_values_cross, distinct_aggregates, filter_columns, poisson_sample, sample_without_replacement, pup_table, pup_path, pup_map, pup_reduce, pup_join, pup_row, dp_exact_sums, dp_keys_threshold_exact, dp_keys_public, rewrite_pup_sql, synthetic_redirect, compose_views, weighted_reduce, weighted_join, span_of_sql_round_trip, flagship)}
+QUERIES |= {f.__name__: f for f in (values_join, set_union_by_name, l1_norms, l2_norms, l2_clipped_sums, limit_contributions, public_values_cross, distinct_aggregates, filter_columns, poisson_sample, sample_without_replacement, pup_table, pup_path, pup_map, pup_reduce, pup_join, pup_row, dp_exact_sums, dp_exact_distinct, dp_keys_threshold_exact, dp_keys_public, rewrite_pup_sql, synthetic_redirect, compose_views, weighted_reduce, weighted_join, span_of_sql_round_trip, flagship)}
 QUERIES |= {
     "dp_sum": _noisy("SELECT o_orderpriority, sum(o_totalprice) AS total FROM orders GROUP BY o_orderpriority"),
     "dp_count": _noisy("SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority"),
