@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from html.parser import HTMLParser
 
 import numpy as np
@@ -252,6 +253,19 @@ def test_warc_records(spark, data):
     assert {bytes(r.record).endswith(b"a&b\r\n\r\n") for r in warc.derivatives(odd).where("kind = 'conversion'").collect()} == {True, False}
 
 
+def test_hidden_parts_of_pages_in_one_scan():
+    plain = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", re.S | re.I)
+    rng = random.Random(14)
+    bits = ["<script>", "</script>", "<STYLE a=b>", "</style >", "<!--", "-->", "<", ">", "x", " ", "<p>", "</Script", "<template"]
+    for _ in range(3000):
+        page = "".join(rng.choices(bits, k=rng.randint(0, 14)))
+        assert warc.without_hidden(page) == plain.sub("", page), page
+    for bit in ("<script>x ", "<a ", "<script ", "<!-- "):
+        begun = time.time()
+        warc.plain_text(bit * 40_000)
+        assert time.time() - begun < 5
+
+
 @pytest.mark.parametrize("f", [lambda d: substring_dedup.remove_repeats(d), lambda d: suffix_dedup.remove_repeats(d), minhash_forest.op6, lambda d: line_dedup.removed_lines(d), lambda d: langid.predict(d.select("doc_id", "text"), langid.fit(d))])
 def test_empty_table(docs, f):
     assert f(docs.limit(0)).count() == 0

@@ -162,7 +162,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, rerank: int = RE
     takes no part. Fewer than k rows if there are fewer candidates.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK))
     base, asked = valid(vectors), valid(queries).dropDuplicates(["id"])
     n = base.count()
     drawn = base if n <= sample else base.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * sample / n))

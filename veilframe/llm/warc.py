@@ -13,13 +13,15 @@ import html
 import json
 import re
 import uuid
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-_DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", re.S | re.I)
+_HIDDEN = ("script", "style", "noscript", "template")
+_CLOSE = {n: re.compile(rf"</{n}\s*>", re.I) for n in _HIDDEN} | {"--": re.compile("-->")}
 _BREAK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|table|tr|td|th|section|article|aside|header|footer|nav|main|title|head|body|html|pre|blockquote|form|figure)\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^>]*>|<![^>]*>|<\?[^>]*>")
 _SPACE = re.compile(r"[ \t\r\f\v\xa0]+")
@@ -37,10 +39,32 @@ def record_id(*parts) -> str:
     return f"<urn:uuid:{uuid.uuid5(_IDS, json.dumps(parts))}>"
 
 
+@cache
+def _opening(names: frozenset[str]) -> re.Pattern:
+    tags = "|".join(sorted(names - {"--"}))
+    forms = (["<!--"] if "--" in names else []) + ([rf"<({tags})\b[^>]*>"] if tags else [])
+    return re.compile("|".join(forms), re.I)
+
+
+def without_hidden(page: str) -> str:
+    """The page without comments, scripts and the like, each up to its end; one without an end stays. One scan, however many begin."""
+    last = {n: max((m.start() for m in close.finditer(page)), default=-1) for n, close in _CLOSE.items()}
+    out, at, open_ = [], 0, frozenset(n for n in last if last[n] >= 0)
+    while open_ and (m := _opening(open_).search(page, at)):
+        name = (m[1] or "--").lower() if m.re.groups else "--"
+        if last[name] < m.end():  # nothing of this kind ends any more
+            open_ -= {name}
+            continue
+        out.append(page[at : m.start()])
+        at = _CLOSE[name].search(page, m.end()).end()
+    return "".join(out) + page[at:]
+
+
 def plain_text(page: str) -> str:
     """Text of an HTML page, a line for each block element; scripts, styles and comments are left out."""
-    text = _BREAK.sub("\n", _DROP.sub("", page))
-    text = html.unescape(_TAG.sub("", text))
+    end = page.rfind(">") + 1  # no tag ends behind it
+    text = without_hidden(page[:end])
+    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", text)) + page[end:])
     return _LINES.sub("\n", _SPACE.sub(" ", text)).strip(" \n")
 
 
