@@ -1,6 +1,6 @@
 import math
 
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from veilframe.plans.bounds import CAPACITY, Bounds
@@ -12,6 +12,7 @@ PY = {"plus": lambda a, b: a + b, "minus": lambda a, b: a - b, "multiply": lambd
 
 @settings(max_examples=200, deadline=None)
 @given(st.sampled_from(sorted(PY)), st.tuples(NUMBERS, NUMBERS), st.tuples(NUMBERS, NUMBERS), st.floats(0, 1), st.floats(0, 1))
+@example("divide", (1.0, 1.0), (1e-300, 1.0), 0.0, 0.0)
 def test_values_fall_in_the_inferred_range(name, x, y, p, q):
     x, y = tuple(sorted(x)), tuple(sorted(y))
     a, b = x[0] + p * (x[1] - x[0]), y[0] + q * (y[1] - y[0])

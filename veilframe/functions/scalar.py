@@ -72,7 +72,7 @@ def _divide_image(a):
     parts = [(p, q) for p, q in y.parts]
     clear = [(max(p, c), min(q, d)) for p, q in parts for c, d in ((-INF, -EPSILON), (EPSILON, INF)) if max(p, c) <= min(q, d)]
     out = monotone(lambda u, v: _zero(u / v), [x, Bounds(tuple(clear))], [SIGNS, SIGNS]) if clear else Bounds(())
-    whole = out.union(Bounds.of(0.0)) if len(clear) != len(parts) or any(p <= 0 <= q for p, q in parts) or y.nullable else out
+    whole = out.union(Bounds.of(0.0)) if any(p < EPSILON and q > -EPSILON for p, q in parts) or y.nullable else out
     return whole.null(x.nullable)
 
 
