@@ -155,7 +155,7 @@ _add("round", lambda x, n=None: F.round(x) if n is None else F.round(x, n), lamb
 _add("trunc truncate", lambda x, n=None: _trunc(x, n), lambda a: _rounded(a), same, (1, 2))
 _add("ceil ceiling", F.ceil, _mono(math.ceil), "integer")
 _add("floor", F.floor, _mono(math.floor), "integer")
-_add("sign", F.signum, _mono(lambda x: (x > 0) - (x < 0)), "integer")
+_add("sign", lambda x: F.when(x > 0, F.lit(1).cast("bigint")).when(x < 0, F.lit(-1).cast("bigint")).when(x == 0, F.lit(0).cast("bigint")), _mono(lambda x: (x > 0) - (x < 0)), "integer")
 _add("degrees", F.degrees, _mono(math.degrees), "float", one_to_one=True)
 _add("pi", lambda: F.pi(), lambda a: Bounds.of(math.pi), "float", 0)
 _add("random rand", lambda seed=None: F.rand(), lambda a: Bounds.of((0.0, 1.0)), "float", (0, 1))
@@ -245,14 +245,17 @@ TOKENS = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%c": "M", "%d": "dd", "%e": "d"
 
 
 def java_pattern(fmt: str) -> str:
-    """A Java date pattern for one with % tokens; other letters are quoted."""
-    out, i = "", 0
-    while i < len(fmt):
-        if fmt[i : i + 2] in TOKENS:
-            out += TOKENS[fmt[i : i + 2]]
-            i += 2
-        else:
-            out += f"'{fmt[i]}'" if fmt[i].isalpha() else fmt[i]
+    """A Java date pattern for one with % tokens; what stands between tokens is quoted."""
+    out, plain, i = "", "", 0
+    while i <= len(fmt):
+        token = TOKENS.get(fmt[i : i + 2])
+        if (token is not None or i == len(fmt)) and plain:
+            out += "'" + plain.replace("'", "''") + "'" if any(c not in " -/:.,0123456789" for c in plain) else plain
+            plain = ""
+        if token is None:
+            plain += fmt[i : i + 1]
             i += 1
+        else:
+            out += token
+            i += 2
     return out
-

@@ -44,7 +44,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "guarded_division": ("SELECT l_orderkey, l_linenumber, l_tax / l_discount AS ratio FROM lineitem", "SELECT l_orderkey, l_linenumber, CASE WHEN abs(l_discount) >= 1e-12 THEN l_tax / l_discount ELSE 0.0 END AS ratio FROM lineitem"),
     "case_coalesce_null": ("SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'big' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'small' END AS size, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END AS code, COALESCE(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END, 'none') AS status, (o_totalprice > 200000) IS TRUE AS rich, o_orderpriority IS NULL AS no_priority FROM orders",) * 2,
     "math_functions": ("SELECT o_orderkey, ROUND(log(o_totalprice), 6) AS lg, ROUND(log2(o_totalprice), 6) AS l2, ROUND(ln(o_totalprice), 6) AS l, ROUND(exp(o_totalprice / 1000000), 6) AS ex, ROUND(sqrt(o_totalprice), 6) AS sq, ROUND(pow(o_totalprice, 0.25), 6) AS pw, sign(o_totalprice - 200000) AS sg, trunc(o_totalprice) AS tr, ROUND(degrees(o_totalprice / 1000000), 6) AS dg, ceil(o_totalprice) AS ce, floor(o_totalprice) AS fl, abs(o_totalprice - 200000) AS ab, ROUND(sin(o_totalprice / 1000), 6) AS sn, least(o_totalprice, 1000) AS le, greatest(o_totalprice, 1000) AS gr FROM orders",
-        "SELECT o_orderkey, ROUND(log10(o_totalprice), 6) AS lg, ROUND(log2(o_totalprice), 6) AS l2, ROUND(ln(o_totalprice), 6) AS l, ROUND(exp(o_totalprice / 1000000), 6) AS ex, ROUND(sqrt(o_totalprice), 6) AS sq, ROUND(pow(o_totalprice, 0.25::DOUBLE), 6) AS pw, sign(o_totalprice - 200000)::DOUBLE AS sg, trunc(o_totalprice) AS tr, ROUND(degrees(o_totalprice / 1000000), 6) AS dg, ceil(o_totalprice)::BIGINT AS ce, floor(o_totalprice)::BIGINT AS fl, abs(o_totalprice - 200000) AS ab, ROUND(sin(o_totalprice / 1000), 6) AS sn, least(o_totalprice, 1000) AS le, greatest(o_totalprice, 1000) AS gr FROM orders"),
+        "SELECT o_orderkey, ROUND(log10(o_totalprice), 6) AS lg, ROUND(log2(o_totalprice), 6) AS l2, ROUND(ln(o_totalprice), 6) AS l, ROUND(exp(o_totalprice / 1000000), 6) AS ex, ROUND(sqrt(o_totalprice), 6) AS sq, ROUND(pow(o_totalprice, 0.25::DOUBLE), 6) AS pw, sign(o_totalprice - 200000)::BIGINT AS sg, trunc(o_totalprice) AS tr, ROUND(degrees(o_totalprice / 1000000), 6) AS dg, ceil(o_totalprice)::BIGINT AS ce, floor(o_totalprice)::BIGINT AS fl, abs(o_totalprice - 200000) AS ab, ROUND(sin(o_totalprice / 1000), 6) AS sn, least(o_totalprice, 1000) AS le, greatest(o_totalprice, 1000) AS gr FROM orders"),
     "string_functions": ("SELECT c_custkey, upper(c_name) AS up, lower(c_mktsegment) AS lo, ltrim(c_name, 'C') AS lt, rtrim(c_name, '0') AS rt, btrim(c_mktsegment, 'AG') AS bt, substr(c_name, 3, 4) AS su, POSITION('#' IN c_name) AS po, concat(c_name, '-', c_custkey) AS co, c_name || c_mktsegment AS cc, char_length(c_mktsegment) AS le, md5(c_name) AS md, regexp_contains(c_name, '[0-9]+1$') AS rc, regexp_replace(c_name, '[0-9]', 'x') AS rr, c_name LIKE '%1%' AS li, c_mktsegment ILIKE '%au%' AS il, c_mktsegment IN ('BUILDING', 'MACHINERY') AS isin FROM customer",
         "SELECT c_custkey, upper(c_name) AS up, lower(c_mktsegment) AS lo, ltrim(c_name, 'C') AS lt, rtrim(c_name, '0') AS rt, trim(c_mktsegment, 'AG') AS bt, substr(c_name, 3, 4) AS su, instr(c_name, '#')::INT AS po, concat(c_name, '-', c_custkey) AS co, c_name || c_mktsegment AS cc, length(c_mktsegment)::INT AS le, md5(c_name) AS md, regexp_matches(c_name, '[0-9]+1$') AS rc, regexp_replace(c_name, '[0-9]', 'x', 'g') AS rr, c_name LIKE '%1%' AS li, c_mktsegment ILIKE '%au%' AS il, c_mktsegment IN ('BUILDING', 'MACHINERY') AS isin FROM customer"),
     "encode_decode": ("SELECT c_custkey, encode(c_name, 'hex') AS h, encode(c_name, 'base64') AS b, decode(encode(c_name, 'hex'), 'hex') AS dh, decode(encode(c_name, 'base64'), 'base64') AS db, unhex(encode(c_name, 'hex')) AS u FROM customer",
