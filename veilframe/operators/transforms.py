@@ -6,8 +6,9 @@ over (unit, group) sums; raw rows are never joined back.
 
 from __future__ import annotations
 
+import datetime
+import math
 import secrets
-from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,12 @@ from pyspark.sql import functions as F
 from ..plans.bounds import Bounds
 
 
+#: Buckets of random keys: so many counts are broadcast at most.
+BUCKETS = 65_536
+#: Types of literals in a declared domain.
+_KINDS = {bool: "boolean", int: "bigint", float: "double", datetime.date: "date", datetime.datetime: "timestamp_ntz"}
+
+
 def new_seed() -> int:
     """A seed for one place where noise is drawn; never logged, never used twice."""
     return secrets.randbits(62)
@@ -94,10 +101,22 @@ def poisson_sampling(df: DataFrame, p: float, seed: int | None = None) -> DataFr
 
 
 def sampling_without_replacement(df: DataFrame, rate: float, rows: int, multiplier: float = 2.0, seed: int | None = None) -> DataFrame:
-    """rate * rows random rows; a prefilter keeps the sort to multiplier times as many."""
+    """rate * rows random rows of an input that reads alike each time; a prefilter keeps about multiplier times as many.
+
+    The rows lie in BUCKETS buckets of their random keys. Buckets below the cut
+    are taken whole, only the bucket of the cut is sorted, so that no task holds
+    the sample.
+    """
     seed = new_seed() if seed is None else seed
-    drawn = df.filter(F.rand(seed) < min(1.0, multiplier * rate)).withColumn("_order", F.rand(seed + 1))
-    return drawn.orderBy("_order").limit(int(rate * rows)).drop("_order")
+    wanted = int(rate * rows)
+    drawn = df.filter(F.rand(seed) < min(1.0, multiplier * rate)).withColumn("_order", F.rand(seed + 1)).withColumn("_bucket", F.floor(F.col("_order") * BUCKETS))
+    counts = drawn.groupBy("_bucket").agg(F.count("*").alias("_n"))  # at most BUCKETS rows
+    before = F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")
+    cut = counts.withColumn("_before", before).where(F.col("_before") < wanted)
+    kept = drawn.join(F.broadcast(cut), "_bucket")
+    whole = kept.where(F.col("_before") + F.col("_n") <= wanted)
+    edge = kept.where(F.col("_before") + F.col("_n") > wanted).withColumn("_rank", F.row_number().over(Window.partitionBy("_bucket").orderBy("_order"))).where(F.col("_rank") <= wanted - F.col("_before"))
+    return whole.select(*df.columns).unionAll(edge.select(*df.columns))
 
 
 def unique(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -120,11 +139,16 @@ def distinct_aggregates(df: DataFrame, keys: list[str], aggs: dict[str, tuple[st
     return out.select(*keys, *aggs)
 
 
-def public_values(spark: SparkSession, domains: dict[str, Bounds]) -> DataFrame:
-    """Every combination of the columns' declared finite domains."""
-    rows = list(product(*(b.values() for b in domains.values())))
-    kinds = [("boolean" if isinstance(v, bool) else "bigint" if isinstance(v, int) else "double" if isinstance(v, float) else "string") for v in rows[0]]
-    return spark.createDataFrame(rows, ", ".join(f"`{c}` {k}" for c, k in zip(domains, kinds, strict=True)))
+def public_values(spark: SparkSession, domains: dict[str, Bounds], most: int = 10_000_000) -> DataFrame:
+    """Every combination of the columns' declared finite domains, made by Spark; over `most` of them it raises."""
+    found = math.prod(len(b.values()) for b in domains.values())
+    if found > most:
+        raise ValueError(f"{found} combinations of public values, at most {most}")
+    out = None
+    for c, b in domains.items():
+        one = spark.createDataFrame([(v,) for v in b.values()], f"`{c}` {_KINDS.get(type(b.values()[0]), 'string')}")
+        out = one if out is None else out.crossJoin(F.broadcast(one))
+    return out
 
 
 def cross_join(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -34,6 +34,23 @@ class Expr:
             return Agg(self.name, tuple(a.replace(mapping) for a in self.args), self.distinct, self.param)
         return self
 
+    def dot(self, fields: dict[str, Bounds] | None = None) -> str:
+        """Graphviz text of the expression, with the range of each part over rows of such columns."""
+        nodes: list[str] = []
+        edges: list[str] = []
+
+        def walk(e) -> int:
+            own = len(nodes)
+            name = e.name if isinstance(e, (Col, Fn, Agg)) else repr(e.value)
+            text = f"{name}{' distinct' * getattr(e, 'distinct', False)}\\n{bounds_of(e, fields or {}).text()}"
+            nodes.append(f'  e{own} [label="{text.replace(chr(34), chr(39))}"];')
+            for a in getattr(e, "args", ()):
+                edges.append(f"  e{walk(a)} -> e{own};")
+            return own
+
+        walk(self)
+        return "digraph {\n" + "\n".join(nodes + edges) + "\n}"
+
     def label(self) -> str:
         """A name for an unnamed expression, from its content."""
         return self.name if isinstance(self, Col) else "field_" + hashlib.md5(repr(self).encode()).hexdigest()[:8]

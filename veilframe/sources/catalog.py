@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.bounds import Bounds
+from ..plans.dialects import DIALECTS, query
 from ..plans.nodes import TYPES, Relation, Table, table
 from ..plans.sql import parse
 
@@ -62,13 +64,90 @@ def jdbc(spark: SparkSession, url: str, name: str, partition: tuple[str, int, in
     return reader.load()
 
 
-def create_table_sql(r: Relation, name: str) -> str:
-    columns = ", ".join(f"`{f.name}` {SQL_TYPES.get(f.type, 'STRING')}{'' if f.bounds.nullable else ' NOT NULL'}" for f in r.fields)
-    return f"CREATE TABLE `{name}` ({columns}) USING parquet"
+#: URL patterns and driver classes of the databases.
+DATABASES = {
+    "postgresql": ("jdbc:postgresql://{host}:{port}/{database}", 5432, "org.postgresql.Driver"),
+    "redshift": ("jdbc:redshift://{host}:{port}/{database}", 5439, "com.amazon.redshift.jdbc42.Driver"),
+    "mysql": ("jdbc:mysql://{host}:{port}/{database}", 3306, "com.mysql.cj.jdbc.Driver"),
+    "mssql": ("jdbc:sqlserver://{host}:{port};databaseName={database}", 1433, "com.microsoft.sqlserver.jdbc.SQLServerDriver"),
+    "sqlite": ("jdbc:sqlite:{database}", 0, "org.sqlite.JDBC"),
+}
 
 
-def insert_sql(r: Relation, name: str) -> str:
-    return f"INSERT INTO `{name}` ({', '.join(f'`{f.name}`' for f in r.fields)}) VALUES ({', '.join('?' * len(r.fields))})"
+@dataclass(frozen=True)
+class Database:
+    """A database that Spark reads and writes by its own driver, which must be on the class path."""
+
+    kind: str
+    database: str
+    host: str = "localhost"
+    port: int | None = None
+    options: tuple[tuple[str, str], ...] = ()  # user, password, fetchsize ...
+
+    def settings(self, name: str) -> dict[str, str]:
+        url, port, driver = DATABASES[self.kind]
+        return {"url": url.format(host=self.host, port=self.port or port, database=self.database), "driver": driver, "dbtable": name, **dict(self.options)}
+
+    def read(self, spark: SparkSession, name: str, partition: tuple[str, int, int, int] | None = None) -> DataFrame:
+        own = self.settings(name)
+        return jdbc(spark, own.pop("url"), own.pop("dbtable"), partition, **own)
+
+    def query(self, spark: SparkSession, r: Relation) -> DataFrame:
+        """The relation run by the database, as a query in its dialect."""
+        own = self.settings("")
+        del own["dbtable"]
+        return spark.read.format("jdbc").options(**own, query=query(r, self.kind)).load()
+
+    def create(self, df: DataFrame, name: str) -> None:
+        self.writer(df.limit(0), name).mode("errorifexists").save()
+
+    def insert(self, df: DataFrame, name: str, batch: int = 10_000) -> None:
+        self.writer(df, name).option("batchsize", batch).mode("append").save()
+
+    def writer(self, df: DataFrame, name: str):
+        return df.write.format("jdbc").options(**self.settings(name))
+
+
+def bigquery(spark: SparkSession, name: str | None = None, r: Relation | None = None, **options) -> DataFrame:
+    """A table, or a relation run there as a query; the connector for that source must be on the class path."""
+    reader = spark.read.format("bigquery").options(**options)
+    return reader.load(name) if r is None else reader.option("viewsEnabled", "true").option("query", query(r, "bigquery")).load()
+
+
+def bigquery_insert(df: DataFrame, name: str, create: bool = False, **options) -> None:
+    df.write.format("bigquery").options(**{"writeMethod": "direct", **options}).mode("errorifexists" if create else "append").save(name)
+
+
+#: Column types where a dialect's own differ from those of its casts.
+COLUMN_TYPES = {
+    "postgresql": {"bytes": "BYTEA", "time": "TIME", "duration": "INTERVAL"},
+    "redshift": {"text": "VARCHAR(65535)", "bytes": "VARBYTE", "time": "TIME"},
+    "mysql": {"text": "LONGTEXT", "integer": "BIGINT", "bytes": "LONGBLOB", "time": "TIME"},
+    "mssql": {"boolean": "BIT", "bytes": "VARBINARY(MAX)", "time": "TIME"},
+    "sqlite": {"boolean": "INTEGER", "bytes": "BLOB", "date": "TEXT", "time": "TEXT", "duration": "TEXT"},
+    "bigquery": {"boolean": "BOOL", "bytes": "BYTES", "time": "TIME", "duration": "INTERVAL"},
+}
+
+
+def column_type(kind: str, dialect: str) -> str:
+    if dialect in ("spark", "databricks", "hive"):
+        return "TIMESTAMP" if dialect == "hive" and kind == "datetime" else SQL_TYPES.get(kind, "STRING")
+    own = {"boolean": "BOOLEAN", "date": "DATE", **DIALECTS[dialect].types, **COLUMN_TYPES[dialect]}
+    return own.get(kind, own["text"])
+
+
+def create_table_sql(r: Relation, name: str, dialect: str = "spark") -> str:
+    """NOT NULL where a column's declared range has no null."""
+    d = DIALECTS[dialect]
+    columns = ", ".join(f"{d.ident(f.name)} {column_type(f.type, dialect)}{'' if f.bounds.nullable else ' NOT NULL'}" for f in r.fields)
+    return f"CREATE TABLE {d.ident(name)} ({columns})" + {"spark": " USING parquet", "databricks": " USING delta", "hive": " STORED AS PARQUET"}.get(dialect, "")
+
+
+def insert_sql(r: Relation, name: str, dialect: str = "spark") -> str:
+    """With the dialect's placeholders for the values of a row."""
+    d = DIALECTS[dialect]
+    marks = [{"postgresql": f"${i}", "redshift": f"${i}", "mssql": f"@p{i}", "bigquery": f"@p{i}"}.get(dialect, "?") for i in range(1, len(r.fields) + 1)]
+    return f"INSERT INTO {d.ident(name)} ({', '.join(d.ident(f.name) for f in r.fields)}) VALUES ({', '.join(marks)})"
 
 
 def create(df: DataFrame, name: str) -> None:
