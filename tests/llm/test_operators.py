@@ -392,3 +392,19 @@ def test_items_of_few_words_are_whole_texts(spark):
 
 def test_number_signs_are_no_letters():
     assert langid.words_of("² ½ ① 12 _") == [] and langid.words_of("Aé²b Ωm") == ["aé", "b", "ωm"]
+
+
+def test_very_long_lines_are_near_by_characters(spark):
+    rnd = random.Random(12)
+    words = ["".join(rnd.choices("abcdefghijklmnop", k=6)) for _ in range(900)]
+    other = [w if i < 630 else w[:2] + "z" + w[3:] for i, w in enumerate(words)]  # 30% of the words, 5% of the characters
+    far = [w if i < 630 else "".join(rnd.choices("qrstuvwxyz", k=6)) for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate([words, other, far])], "doc_id long, text string")
+    assert {(r.doc, r.kept_doc) for r in line_dedup.removed_lines(docs).collect()} == {(1, 0)}
+
+
+def test_distances_within_a_limit(spark):
+    pairs = [("abcdefghij" * 3, "abcdefghij" * 2 + "abXdefghYj"), ("abcdefghij" * 3, "zyxwvutsrq" * 3), ("é" * 20, "é" * 16), ("a b" * 2000, "a c" * 2000)]
+    df = spark.createDataFrame(pairs, "x string, y string")
+    found = df.select(F.levenshtein("x", "y").alias("exact"), F.floor(F.length("x") * 0.2).cast("int").alias("lim"), line_dedup.trimmed(F.col("x"), F.col("y"), F.floor(F.length("x") * 0.2).cast("int")).alias("d")).collect()
+    assert all(r.d == (r.exact if r.exact <= r.lim else -1) for r in found)
