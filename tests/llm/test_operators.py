@@ -408,3 +408,16 @@ def test_distances_within_a_limit(spark):
     df = spark.createDataFrame(pairs, "x string, y string")
     found = df.select(F.levenshtein("x", "y").alias("exact"), F.floor(F.length("x") * 0.2).cast("int").alias("lim"), line_dedup.trimmed(F.col("x"), F.col("y"), F.floor(F.length("x") * 0.2).cast("int")).alias("d")).collect()
     assert all(r.d == (r.exact if r.exact <= r.lim else -1) for r in found)
+
+
+def test_candidates_that_meet_the_threshold_are_linked(spark):
+    rnd = random.Random(13)
+    texts = []
+    for _ in range(40):
+        words = ["".join(rnd.choices("abcdefghijklmnop", k=7)) for _ in range(36)]
+        texts += [" ".join(words), " ".join(w[:3] + "z" + w[4:] if i % 5 < 3 else w for i, w in enumerate(words))]  # 60% of the words, 8% of the characters
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sketches = {r.doc: set(r.sketch) for r in line_dedup.lines(docs).collect()}
+    candidates = [i for i in range(0, 80, 2) if len(sketches[i] & sketches[i + 1]) > 1 and distance(texts[i], texts[i + 1]) <= max(len(texts[i]), len(texts[i + 1])) // 5]
+    gone = {r.doc: r.kept_doc for r in line_dedup.removed_lines(docs).collect()}
+    assert candidates and all(gone.get(i + 1) == i for i in candidates)
