@@ -421,3 +421,20 @@ def test_candidates_that_meet_the_threshold_are_linked(spark):
     candidates = [i for i in range(0, 80, 2) if len(sketches[i] & sketches[i + 1]) > 1 and distance(texts[i], texts[i + 1]) <= max(len(texts[i]), len(texts[i + 1])) // 5]
     gone = {r.doc: r.kept_doc for r in line_dedup.removed_lines(docs).collect()}
     assert candidates and all(gone.get(i + 1) == i for i in candidates)
+
+
+def test_counts_of_characters_rule_out_only_what_is_far(spark):
+    rnd = random.Random(14)
+    pairs = []
+    for i in range(300):
+        x = [rnd.choice(["ab ", "etaoin srh.", "жé漢b "][i % 3]) for _ in range([0, 1, 30, 100, 400][i % 5])]
+        y = list(x)
+        for _ in range(rnd.choice([0, 1, 3, len(x) // 5, len(x)])):
+            k = rnd.randrange(len(y) + 1)
+            y[k : k + rnd.randrange(2)] = rnd.choice(["", "q", "漢e"])
+        pairs.append(("".join(x), "".join(y)))
+    pairs += [("a" * 3000, "a" * 2500), ("a" * 3000, "e" * 3000), ("e" * 64, "t" * 64), ("t" * 64, "e" * 60)]
+    df = spark.createDataFrame(pairs, "x string, y string").select("x", "y", line_dedup.bag(F.col("x")).alias("b"), line_dedup.bag(F.col("y")).alias("c"))
+    found = df.select(F.levenshtein("x", "y").alias("exact"), line_dedup.least_edits(F.col("b"), F.col("c"), F.char_length("x"), F.char_length("y")).alias("least")).collect()
+    assert all(0 <= r.least <= r.exact for r in found)
+    assert [r.least for r in found[-4:]] == [0, 2047, 64, 64] and sum(r.least == r.exact for r in found) > 60
