@@ -438,3 +438,22 @@ def test_counts_of_characters_rule_out_only_what_is_far(spark):
     found = df.select(F.levenshtein("x", "y").alias("exact"), line_dedup.least_edits(F.col("b"), F.col("c"), F.char_length("x"), F.char_length("y")).alias("least")).collect()
     assert all(0 <= r.least <= r.exact for r in found)
     assert [r.least for r in found[-4:]] == [0, 2047, 64, 64] and sum(r.least == r.exact for r in found) > 60
+
+
+def test_crowded_buckets_are_dealt_in_full_and_carry_little(spark, monkeypatch):
+    rnd = random.Random(6)
+    head = "".join(rnd.choices("abcdefgh ", k=60))
+    texts = [head + "".join(rnd.choices("ijklmnopqrstuvw ", k=60)) for _ in range(40)]
+    texts += [t[:-1] + "é" for t in texts]  # all share keys, only twins are near
+    tables = {}
+    written, deal = line_dedup.written, line_dedup.dealt
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: tables.setdefault(name, (df[0] if isinstance(df, list) else df).columns) and written(df, name))
+    monkeypatch.setattr(line_dedup, "dealt", lambda groups, tasks: deal(groups, tasks).withColumn("rows", F.lit(3)).withColumn("cols", F.lit(2)))
+    gone = {r.doc: r.kept_doc for r in line_dedup.removed_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert gone == {i + 40: i for i in range(40)}
+    # neither sketches of all lines nor texts of each bucket are put on disk
+    assert not {"sketch", "keys", "norm"} & {*tables["lines"]} and not {"norm", "bag", "k"} & {*tables["mixed"]}
+    # lines are carried to the root of so many tasks, in a bucket ten times as large to no more
+    for n in (20_000, 200_000):
+        r = deal(spark.createDataFrame([(1, 2, n, n // 2, 2e4 * n * n)], "key long, most long, n long, few long, cells double"), 32).collect()[0]
+        assert r.rows * r.cols >= 32 and n * r.rows + n // 2 * r.cols <= 10 * n
