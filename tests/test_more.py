@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from veilframe.operators import transforms as t
 from veilframe.plans.bounds import Bounds
 from veilframe.plans.dialects import DIALECTS, query
-from veilframe.plans.expr import agg, col
-from veilframe.plans.nodes import natural_join, table
+from veilframe.plans.expr import agg, col, fn
+from veilframe.plans.nodes import join, natural_join, table, values
 from veilframe.plans.sql import parse
 from veilframe.privacy import ledger
 from veilframe.privacy.rules import Rewriter, dp_operators, rewrite_as_tracked, rewrite_with_dp
@@ -143,3 +143,16 @@ def test_stream_appends_closed_windows(spark, tmp_path):
     assert q.awaitTermination(120)
     got = rows(spark.table("closed_windows"))
     assert got == [(at, 1, 5), (at, 2, 5), (at + datetime.timedelta(hours=3), 1, 1)]
+
+
+def test_joins_with_literal_values_deal_no_rows_by_them(spark):
+    c = Catalog()
+    c.add("a", spark.range(1000).selectExpr("id % 3 AS k", "id AS v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a table too large to be sent
+    try:
+        for left, right in ((values("p", [1, 2]), c["a"]), (c["a"], values("p", [1, 2]))):
+            df = join(left, right, fn("eq", col("p"), col("k"))).group_by("p", n=agg("count")).dataframe(spark)
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert rows(df) == [(1, 333), (2, 333)] and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
